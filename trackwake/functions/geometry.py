@@ -6,9 +6,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, functions as F, types as T
 
-POINT_TYPE = "struct<x:double,y:double>"
+POINT = T.StructType(
+    [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]
+)
 
 # Spatial reference ids and the sphere radius of Web Mercator.
 WGS84 = 4326
@@ -45,7 +48,7 @@ def to_web_mercator(point: Column) -> Column:
     )
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def wkb_encode(x: pa.Array, y: pa.Array) -> pa.Array:
     """Little-endian WKB points; null where a coordinate is null."""
     rows = len(x)
@@ -58,11 +61,11 @@ def wkb_encode(x: pa.Array, y: pa.Array) -> pa.Array:
     packed = pa.Array.from_buffers(
         pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(records)]
     )
-    known = pa.compute.and_(x.is_valid(), y.is_valid())
-    return pa.compute.if_else(known, packed, pa.scalar(None, pa.binary()))
+    known = pc.and_(x.is_valid(), y.is_valid())
+    return pc.if_else(known, packed, pa.scalar(None, pa.binary()))
 
 
-@F.arrow_udf(POINT_TYPE)
+@F.arrow_udf(POINT)
 def wkb_decode(wkb: pa.Array) -> pa.Array:
     """WKB points of either byte order to coordinates; null stays null.
 
@@ -70,12 +73,13 @@ def wkb_decode(wkb: pa.Array) -> pa.Array:
     """
     rows = len(wkb)
     known = wkb.is_valid().to_numpy(zero_copy_only=False)
-    sizes = pa.compute.binary_length(wkb.drop_null())
-    if len(sizes) and pa.compute.any(
-        pa.compute.not_equal(sizes, _WKB_POINT_SIZE)
-    ).as_py():
-        raise ValueError("not a WKB point: wrong length")
-    packed = np.frombuffer(b"".join(wkb.drop_null().to_pylist()), dtype=_WKB_LITTLE)
+    points = wkb.drop_null().cast(pa.binary(_WKB_POINT_SIZE))
+    packed = np.frombuffer(
+        points.buffers()[1] or b"",
+        dtype=_WKB_LITTLE,
+        count=len(points),
+        offset=points.offset * _WKB_POINT_SIZE,
+    )
     swapped = packed.view(_WKB_BIG)
     little = packed["order"] == 1
     if np.any(np.where(little, packed["kind"], swapped["kind"]) != 1):

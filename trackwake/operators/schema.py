@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from trackwake.functions.geometry import POINT
+
 # Attribute type names. Date holds a date with a time of day.
 ATTRIBUTE_TYPES: dict[str, T.DataType] = {
     "String": T.StringType(),
@@ -25,10 +27,6 @@ ATTRIBUTE_TYPES: dict[str, T.DataType] = {
 TRACK_ID = "TRACK_ID"
 START_TIME = "START_TIME"
 
-POINT = T.StructType(
-    [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]
-)
-
 
 def read_feature_schema(document: str) -> T.StructType:
     """A JSON schema document as a StructType.
