@@ -93,14 +93,14 @@ class _TrackProcessor(StatefulProcessor):
     def __init__(
         self,
         entry: T.StructType,
-        key: str,
+        output: T.StructType,
         time: str,
         arrival: list[str],
         max_features: int,
         ttl_ms: int | None,
     ) -> None:
         self.entry = entry
-        self.key = key
+        self.output = output
         self.time = time
         self.arrival = arrival
         self.max_features = max_features
@@ -108,6 +108,7 @@ class _TrackProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getListState(STATE_NAME, self.entry, self.ttl_ms)
+        self.emitted = Row(*self.output.names)
 
     def close(self) -> None:
         pass
@@ -154,7 +155,7 @@ class TrackPerTrigger(_TrackProcessor):
             self._purge(track)
         self._store(track)
         for time in sorted(track):
-            yield Row(*key, *track[time])
+            yield self.emitted(*key, *track[time])
 
 
 class TrackPerRecord(_TrackProcessor):
@@ -173,7 +174,7 @@ class TrackPerRecord(_TrackProcessor):
                 track[row[self.time]] = self._entry(row)
                 self._purge(track)
             latest = track[max(track)] if track else nothing
-            yield Row(*key, *self._arrived(row), added, *latest)
+            yield self.emitted(*key, *self._arrived(row), added, *latest)
         self._store(track)
 
 
@@ -202,9 +203,10 @@ def stream_track_state(
     order = arrival_columns(arrival)
     kept, entry = _narrow(df, key, time, order, columns)
     thinned = reduce_batches(kept, key, time, arrival, max_features)
+    output = T.StructType([kept.schema[key], *entry.fields])
     return thinned.groupBy(key).transformWithState(
-        TrackPerTrigger(entry, key, time, order, max_features, idle_expiry_ms),
-        T.StructType([kept.schema[key], *entry.fields]),
+        TrackPerTrigger(entry, output, time, order, max_features, idle_expiry_ms),
+        output,
         "Update",
         "None" if idle_expiry_ms is None else "ProcessingTime",
     )
@@ -232,7 +234,7 @@ def stream_track_records(
         ]
     )
     return kept.groupBy(key).transformWithState(
-        TrackPerRecord(entry, key, time, order, max_features, idle_expiry_ms),
+        TrackPerRecord(entry, output, time, order, max_features, idle_expiry_ms),
         output,
         "Update",
         "None" if idle_expiry_ms is None else "ProcessingTime",
