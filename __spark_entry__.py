@@ -363,12 +363,8 @@ def track_remove_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def record_updates_query(spark: SparkSession, folder: str) -> DataFrame:
-    # Narrow chunks, so that whole tables of any size have several per track.
     return record_updates(
-        flights(spark, folder),
-        time="flight_time",
-        columns=["longitude", "latitude"],
-        chunk_width=2048,
+        flights(spark, folder), time="flight_time", columns=["longitude", "latitude"]
     )
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from trackwake.functions.binding import bind
+
 
 def size(track: Column) -> Column:
     return F.size(track)
@@ -59,11 +61,13 @@ def previous(
     """The ``n`` nearest entries before ``time``, or none if there are fewer."""
     if n <= 0:
         return clear(track)
+
+    def nearest(before: Column) -> Column:
+        found = F.when(F.size(before) >= n, F.slice(before, -n, n))
+        return found.otherwise(clear(before))
+
     before = F.filter(track, lambda entry: entry["time"] < time)
-    nearest = F.when(F.size(before) >= n, F.slice(before, -n, n)).otherwise(
-        clear(track)
-    )
-    return ordered(nearest, descending)
+    return ordered(bind(before, nearest), descending)
 
 
 def next_entries(
@@ -82,13 +86,19 @@ def next_entries(
     """
     if n <= 0:
         return clear(track)
-    if strict_successor:
-        after = F.filter(track, lambda entry: entry["time"] > time)
-        found = F.when(F.size(after) >= n, F.slice(after, 1, n))
-    else:
-        after = F.filter(track, lambda entry: entry["time"] >= time)
-        found = F.when(F.size(after) > n, F.slice(after, 2, n))
-    return ordered(found.otherwise(clear(track)), descending)
+    skipped = 0 if strict_successor else 1
+
+    def following(after: Column) -> Column:
+        found = F.when(F.size(after) >= n + skipped, F.slice(after, 1 + skipped, n))
+        return found.otherwise(clear(after))
+
+    after = F.filter(
+        track,
+        lambda entry: entry["time"] > time
+        if strict_successor
+        else entry["time"] >= time,
+    )
+    return ordered(bind(after, following), descending)
 
 
 def add(track: Column, entry: Column, max_features: int) -> Column:

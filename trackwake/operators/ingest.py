@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trackwake.functions.text import trim_field
+from trackwake.functions.text import split_fields
 
 # The eight positional fields of a flight line.
 FLIGHT_LAYOUT = (
@@ -29,12 +32,11 @@ def binary_payload(messages: DataFrame, value: str = "value") -> DataFrame:
     return messages.withColumn(value, F.col(value).cast("binary"))
 
 
-def _field(value: Column, position: int) -> Column:
-    return trim_field(F.get(F.split(value, ",", -1), F.lit(position)))
+_RECORD = "__record"
+_PARTITION = "__partition"
 
 
-def _number(value: Column, position: int, kind: str) -> Column:
-    text = _field(value, position)
+def _number(text: Column, kind: str) -> Column:
     number = text.try_cast(kind)
     if kind != "double":
         return number
@@ -44,30 +46,35 @@ def _number(value: Column, position: int, kind: str) -> Column:
     return F.when(~special | spelled, number)
 
 
-def line_problem(value: Column) -> Column:
+def _typed(line: Column) -> list[Column]:
+    texts = split_fields(line, len(FLIGHT_LAYOUT))
+    return [
+        (text if kind == "string" else _number(text, kind)).alias(name)
+        for text, (name, kind) in zip(texts, FLIGHT_LAYOUT)
+    ]
+
+
+def line_problem(line: Column) -> Column:
     """What is wrong with a line, null for a good one."""
-    # A null size (null line) must count as short, whatever the session's mode.
-    count = F.coalesce(F.size(F.split(value, ",", -1)), F.lit(0))
-    short = (count < len(FLIGHT_LAYOUT)) | (_field(value, 7) == "")
-    checks = F.when(short, F.lit("missing field"))
-    for position, (name, kind) in enumerate(FLIGHT_LAYOUT):
+    last = split_fields(line, len(FLIGHT_LAYOUT))[-1]
+    checks = F.when(F.coalesce(last, F.lit("")) == "", F.lit("missing field"))
+    for typed, (name, kind) in zip(_typed(line), FLIGHT_LAYOUT):
         if kind != "string":
-            checks = checks.when(
-                _number(value, position, kind).isNull(), F.lit(f"bad {name}")
-            )
+            checks = checks.when(typed.isNull(), F.lit(f"bad {name}"))
     return checks
 
 
-def _typed(lines: DataFrame, value: str, keep: tuple[str, ...]) -> DataFrame:
-    fields = [
-        (
-            _field(F.col(value), position)
-            if kind == "string"
-            else _number(F.col(value), position, kind)
-        ).alias(name)
-        for position, (name, kind) in enumerate(FLIGHT_LAYOUT)
+def _record(line: Column) -> Column:
+    """The typed fields of a good line as one struct, null for a bad line."""
+    typed = _typed(line)
+    numbers = [
+        column.cast("double")
+        for column, (_, kind) in zip(typed, FLIGHT_LAYOUT)
+        if kind != "string"
     ]
-    return lines.select(*keep, *fields)
+    # A sum is null if any part is. Unlike a chain of conditions it always
+    # evaluates every part, so that they are shared with the struct's fields.
+    return F.when(reduce(add, numbers).isNotNull(), F.struct(*typed))
 
 
 def parse_flights(
@@ -79,30 +86,44 @@ def parse_flights(
     """Typed rows of flight lines; works on tables and on streams.
 
     ``mode="fail"`` stops the query at the first malformed line, also when the
-    query needs none of the malformed fields. ``mode="reject"`` leaves malformed
-    lines out; ``flight_rejects`` over the same lines returns exactly those.
-    ``keep`` names further input columns to carry along, such as arrival.
+    query uses only fields that are in order. (A query that uses no field at
+    all, such as a bare row count, parses nothing.) ``mode="reject"`` leaves
+    malformed lines out; ``flight_rejects`` over the same lines returns exactly
+    those. ``keep`` names further input columns to carry along, such as arrival.
     """
-    problem = line_problem(F.col(value))
+    text = F.col(value)
     if mode == "fail":
-        stop = F.raise_error(
-            F.concat_ws(": ", F.lit("malformed flight line"), problem, F.col(value))
+        told = F.concat_ws(
+            ": ", F.lit("malformed flight line"), line_problem(text), text
         )
-        checked = lines.where(
-            F.when(problem.isNull(), F.lit(True)).otherwise(stop.cast("boolean"))
+        kind = ", ".join(f"{name}: {kind}" for name, kind in FLIGHT_LAYOUT)
+        record = F.coalesce(
+            _record(text), F.raise_error(told).cast(f"struct<{kind}>")
         )
+        parsed = lines.select(record.alias(_RECORD), *keep)
     elif mode == "reject":
-        checked = lines.where(problem.isNull())
+        parsed = _parsed(lines, text, F.col(_RECORD).isNotNull())
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    return _typed(checked, value, keep)
+    return parsed.select(*keep, f"{_RECORD}.*")
+
+
+def _parsed(lines: DataFrame, text: Column, wanted: Column) -> DataFrame:
+    # Naming the partition in the filter keeps the optimizer from copying the
+    # whole parse into it, where its parts would be worked out over and over.
+    return (
+        lines.withColumn(_RECORD, _record(text))
+        .withColumn(_PARTITION, F.spark_partition_id())
+        .where(wanted & (F.col(_PARTITION) >= 0))
+        .drop(_PARTITION)
+    )
 
 
 def flight_rejects(lines: DataFrame, value: str = "value") -> DataFrame:
     """The malformed lines, with all input columns and a ``reason``."""
-    return lines.withColumn("reason", line_problem(F.col(value))).where(
-        F.col("reason").isNotNull()
-    )
+    text = F.col(value)
+    rejected = _parsed(lines, text, F.col(_RECORD).isNull()).drop(_RECORD)
+    return rejected.withColumn("reason", line_problem(text))
 
 
 def flight_lines(flights: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

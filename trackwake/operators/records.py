@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from trackwake.operators.skew import HOT, hot_keys
+
 _CHUNK = "__chunk"
 
 
@@ -20,21 +22,25 @@ def record_updates(
     """For each record, its track's count and latest report just after it.
 
     Returns ``key, arrival, n, latest_time`` and ``latest_<column>`` for each of
-    ``columns``. ``arrival`` is a whole number, unique per track. Records are
-    numbered inside chunks of ``chunk_width`` arrival numbers, which bounds the
-    rows of any one window group also for a hot track; what happened before a
-    chunk comes from one summary row per track and chunk.
+    ``columns``. ``arrival`` is a whole number, unique per track. A track with
+    more than its share of all rows is cut into chunks of ``chunk_width``
+    arrival numbers, which bounds the rows of any one window group; what
+    happened before a chunk comes from one summary row per chunk.
     """
+    hot = hot_keys(df, key)
+    number = F.col(arrival)
     report = F.struct(
         F.col(time).alias("time"),
         (-F.col(arrival)).alias("rank"),
         *columns,
     )
-    rows = df.select(
-        key,
-        arrival,
-        report.alias("report"),
-        F.floor(F.col(arrival) / F.lit(chunk_width)).alias(_CHUNK),
+    rows = (
+        df.select(key, arrival, report.alias("report"))
+        .join(F.broadcast(hot), key, "left")
+        .withColumn(
+            _CHUNK,
+            F.when(F.col(HOT), number - F.pmod(number, F.lit(chunk_width))),
+        )
     )
     within = (
         Window.partitionBy(key, _CHUNK)
@@ -54,23 +60,23 @@ def record_updates(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     earlier = (
-        rows.groupBy(key, _CHUNK)
+        rows.where(F.col(HOT))
+        .groupBy(key, _CHUNK)
         .agg(F.count(F.lit(1)).alias("n"), F.max("report").alias("latest"))
         .select(
             key,
             _CHUNK,
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
+            F.sum("n").over(before).alias("n_before"),
             F.max("latest").over(before).alias("latest_before"),
         )
     )
-    latest = F.greatest("latest", "latest_before")
     return (
-        inside.join(earlier, [key, _CHUNK])
-        .withColumn("latest", latest)
+        inside.join(earlier, [key, _CHUNK], "left")
+        .withColumn("latest", F.greatest("latest", "latest_before"))
         .select(
             key,
             arrival,
-            (F.col("n") + F.col("n_before")).alias("n"),
+            (F.col("n") + F.coalesce("n_before", F.lit(0))).alias("n"),
             F.col("latest.time").alias("latest_time"),
             *[F.col(f"latest.{c}").alias(f"latest_{c}") for c in columns],
         )

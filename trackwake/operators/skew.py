@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 _ROWS = "__rows"
 _SPLITS = "__splits"
 _SPLIT = "__split"
+HOT = "__hot"
 
 
 def shuffle_width(df: DataFrame) -> int:
@@ -34,6 +35,13 @@ def hot_key_splits(df: DataFrame, key: str, width: int) -> DataFrame:
     return most.select(key, splits.alias(_SPLITS)).where(F.col(_SPLITS) > 1)
 
 
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """The keys worth splitting, marked ``__hot``; at most one per shuffle task."""
+    return hot_key_splits(df, key, shuffle_width(df)).select(
+        key, F.lit(True).alias(HOT)
+    )
+
+
 def join_per_key(
     many: DataFrame, one: DataFrame, key: str, how: str = "inner"
 ) -> DataFrame:

@@ -30,7 +30,8 @@ def flights_of(events: DataFrame) -> DataFrame:
         ),
         F.concat(F.lit("A"), (event_id % 5).cast("string")).alias("aircraft"),
         F.floor(F.col("value") * 100.0).cast("bigint").alias("altitude"),
-        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("track_day"),
+        # By way of a date, which no session time zone can shift.
+        F.col("ts").cast("date").cast("timestamp_ntz").alias("track_day"),
         event_id.bitwiseXOR(F.lit(5461)).alias("arrival_seq"),
         "event_id",
     )
