@@ -1,0 +1,53 @@
+"""Ten sample reports and their expected trace lines."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+# flight, flight time, attribute longitude and latitude, origin, destination,
+# aircraft, altitude, point x and y; the report's instant is its place, in ms.
+REPORTS = [
+    ("SWA2706", "3/16/2012 02:25:30 PM", -79.585739043999979, 34.265521039000078, "IAD", "TPA", "B733", 37000, -79.585739043999979, 34.265521039000078),
+    ("SWA724", "3/16/2012 02:25:31 PM", -76.405288837999933, 39.573270962000038, "IAD", "ABE", "SF34", 10000, -76.405288837999933, 39.573270962000038),
+    ("SWA992", "3/16/2012 02:25:32 PM", -82.067414148999944, 39.630956839000078, "IAD", "MDW", "B737", 36400, -82.067414148999944, 39.630956839000078),
+    ("SWA2358", "3/16/2012 02:25:33 PM", -81.202259940999966, 32.099263440000072, "TPA", "IAD", "B733", 37000, -76.405288837999933, 39.573270962000038),
+    ("SWA1568", "3/16/2012 02:25:34 PM", -113.664557137999960, 36.777755110000044, "LAS", "IAD", "B737", 33000, -113.664557137999960, 36.777755110000044),
+    ("SWA510", "3/16/2012 02:25:35 PM", -77.027415524999981, 38.900886340000056, "IAD", "MDT", "E145", 4500, -77.027415524999981, 38.900886340000056),
+    ("ASA2", "3/16/2012 02:25:36 PM", -119.919099170999970, 47.594541170000070, "SEA", "DCA", "B738", 8100, -119.919099170999970, 47.594541170000070),
+    ("ASA3", "3/16/2012 02:25:37 PM", -89.781309708999970, 44.798605048000070, "DCA", "SEA", "B738", 38000, -89.781309708999970, 44.798605048000070),
+    ("ASA6", "3/16/2012 02:25:38 PM", -116.686654874999990, 34.393357985000080, "LAX", "DCA", "B738", 37000, -116.686654874999990, 34.393357985000080),
+    ("SWA2706", "3/16/2012 02:25:39 PM", -79.954142621999949, 33.654397964000054, "IAD", "TPA", "B733", 37000, -79.954142621999949, 33.654397964000054),
+]
+
+TRACES = {
+    "Update received for flightId=SWA2706, longitude=-79.58573904399998, latitude=34.26552103900008!",
+    "Update received for flightId=SWA724, longitude=-76.40528883799993, latitude=39.57327096200004!",
+    "Update received for flightId=SWA2358, longitude=-81.20225994099997, latitude=32.09926344000007!",
+    "Update received for flightId=ASA2, longitude=-119.91909917099997, latitude=47.59454117000007!",
+    "Update received for flightId=ASA6, longitude=-116.68665487499999, latitude=34.39335798500008!",
+    "Update received for flightId=SWA510, longitude=-77.02741552499998, latitude=38.900886340000056!",
+    "Update received for flightId=SWA1568, longitude=-113.66455713799996, latitude=36.777755110000044!",
+    "Update received for flightId=SWA992, longitude=-82.06741414899994, latitude=39.63095683900008!",
+    "Update received for flightId=ASA3, longitude=-89.78130970899997, latitude=44.79860504800007!",
+    "Update received for flightId=SWA2706, longitude=-79.95414262199995, latitude=33.654397964000054!",
+}
+
+EPOCH = dt.datetime(1970, 1, 1)
+
+
+def lines() -> list[tuple[str]]:
+    return [(",".join(str(value) for value in report[:8]),) for report in REPORTS]
+
+
+def features(spark):
+    """Feature columns: attributes, Geometry, time, arrival."""
+    rows = [
+        (*report[:8], (report[8], report[9]), EPOCH + dt.timedelta(milliseconds=n), n)
+        for n, report in enumerate(REPORTS, start=1)
+    ]
+    return spark.createDataFrame(
+        rows,
+        "flightId string, flightTime string, longitude double, latitude double, "
+        "origin string, destination string, aircraft string, altitude int, "
+        "Geometry struct<x: double, y: double>, time timestamp, arrival bigint",
+    )
