@@ -1,0 +1,393 @@
+import json
+import os
+import time as clock
+
+import pytest
+from pyspark.sql import functions as F
+
+from __spark_entry__ import FLIGHT_SCHEMA
+from tests import samples
+from tests.model import SCHEMA, held_entries, random_reports, replayed
+from trackwake.functions.geometry import to_web_mercator
+from trackwake.functions.text import position_text
+from trackwake.operators.aggregates import running_count
+from trackwake.operators.ingest import parse_flights
+from trackwake.operators.position import last_known_position
+from trackwake.operators.publish import count_messages, state_messages
+from trackwake.plans.programs import (
+    decode_features,
+    feature_count_messages,
+    flight_count_messages,
+    flight_positions,
+    latest_state_messages,
+    projected_tracks,
+    track_snapshot,
+)
+from trackwake.sources.kafka import (
+    ARRIVAL,
+    DEFAULT_GROUP,
+    kafka_source_options,
+    message_columns,
+)
+from trackwake.sources.replay import replay_table, text_stream
+from trackwake.streaming.folders import new_folder, shared_folder
+from trackwake.streaming.sinks import (
+    console_sink,
+    latest_batches,
+    memory_sink,
+    message_sink_options,
+    run_available,
+    table_sink,
+    view_sink,
+)
+from trackwake.streaming.tracks import (
+    rocksdb_state,
+    stored_tracks,
+    stream_track_records,
+    stream_track_state,
+)
+
+
+def write_splits(spark, rows, schema, folder, splits, order):
+    """The rows as so many files, in arrival order from file to file."""
+    rows = sorted(rows, key=lambda row: row[order])
+    size = -(-len(rows) // splits)
+    for n in range(splits):
+        part = rows[n * size : (n + 1) * size]
+        # The first file wins a tie of modification times by its name.
+        staged = f"{folder}-{n}"
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(staged)
+        (name,) = [f for f in os.listdir(staged) if f.endswith(".parquet")]
+        os.makedirs(folder, exist_ok=True)
+        target = f"{folder}/{n:03}.parquet"
+        with open(f"{staged}/{name}", "rb") as source, open(target, "wb") as copy:
+            copy.write(source.read())
+        os.utime(target, (1_700_000_000 + 10 * n,) * 2)
+    return folder
+
+
+@pytest.fixture(scope="module")
+def reports():
+    return random_reports(seed=11, keys=25, most=30, times=25)
+
+
+def _split(spark, reports, tmp_path, splits):
+    return write_splits(spark, reports, SCHEMA, str(tmp_path / "in"), splits, 2)
+
+
+def _run(sink, df, tmp_path, name="q", **options):
+    rows, state = str(tmp_path / f"{name}-rows"), str(tmp_path / f"{name}-state")
+    query = run_available(sink(df, name, state, rows, once=True, **options))
+    return rows, state, query
+
+
+@pytest.mark.parametrize("splits", [1, 2, 7])
+def test_streams_end_like_tables(spark, reports, tmp_path, splits):
+    folder = _split(spark, reports, tmp_path, splits)
+    table = spark.read.parquet(folder)
+    stream = replay_table(spark, folder)
+
+    rows, _, _ = _run(table_sink, running_count(stream), tmp_path, "count")
+    assert set(latest_batches(spark, rows, "flight_id").collect()) == set(
+        running_count(table).collect()
+    )
+    last = last_known_position(stream, columns=["value"])
+    rows, _, _ = _run(table_sink, last, tmp_path, "last")
+    assert set(latest_batches(spark, rows, "flight_id").collect()) == set(
+        last_known_position(table, columns=["value"]).collect()
+    )
+
+
+@pytest.mark.parametrize("splits,limit", [(1, 2), (2, 1), (4, 2), (7, 3), (4, 0)])
+def test_stream_tracks_end_like_one_by_one(spark, reports, tmp_path, splits, limit):
+    folder = _split(spark, reports, tmp_path, splits)
+    tracks = stream_track_state(replay_table(spark, folder), max_features=limit)
+    with rocksdb_state(spark):
+        rows, state, query = _run(table_sink, tracks, tmp_path)
+    expected = held_entries(replayed(reports, limit))
+    if limit:
+        final = latest_batches(spark, rows, "flight_id")
+        assert {tuple(row) for row in final.select("flight_id", "time", "arrival_seq").collect()} == expected
+        # Read from the state itself, tracks without new reports included.
+        held = stored_tracks(spark, state)
+        assert {tuple(row) for row in held.select("flight_id", "time", "arrival_seq").collect()} == expected
+        assert held.count() == len(expected)
+    assert query.lastProgress["batchId"] == splits - 1
+
+
+def test_rocksdb_setting_is_put_back(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    with rocksdb_state(spark):
+        assert spark.conf.get(name).endswith("RocksDBStateStoreProvider")
+    assert spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize("splits", [1, 3])
+def test_one_output_per_record(spark, reports, tmp_path, splits):
+    folder = _split(spark, reports, tmp_path, splits)
+    records = stream_track_records(
+        replay_table(spark, folder), max_features=2, columns=["value"]
+    )
+    with rocksdb_state(spark):
+        rows, _, _ = _run(table_sink, records, tmp_path)
+    found = {
+        (r.flight_id, r.arrival_seq): (r.added, r.latest_time, r.latest_value)
+        for r in spark.read.parquet(rows).collect()
+    }
+    assert len(found) == len(reports)
+    tracks = {}
+    for key, time, arrival, value in sorted(reports, key=lambda row: row[2]):
+        from tests.model import TrackModel
+
+        track = tracks.setdefault(key, TrackModel(2))
+        added = track.add(time, value)
+        newest = max(track.held)
+        assert found[key, arrival] == (added, newest, track.held[newest])
+
+
+def test_restart_counts_every_record_once(spark, reports, tmp_path):
+    folder = _split(spark, reports, tmp_path, 4)
+    moved = str(tmp_path / "late")
+    os.makedirs(moved)
+    early = str(tmp_path / "seen")
+    os.makedirs(early)
+    files = sorted(os.listdir(folder))
+    rows, state = str(tmp_path / "rows"), str(tmp_path / "state")
+    track_rows, track_state = str(tmp_path / "trows"), str(tmp_path / "tstate")
+
+    def run():
+        stream = replay_table(spark, early)
+        run_available(table_sink(running_count(stream), "restart", state, rows, once=True))
+        tracks = stream_track_state(replay_table(spark, early), max_features=2)
+        with rocksdb_state(spark):
+            run_available(table_sink(tracks, "restart_t", track_state, track_rows, once=True))
+
+    for batch in (files[:2], files[2:]):
+        for name in batch:
+            with open(f"{folder}/{name}", "rb") as source, open(f"{early}/{name}", "wb") as copy:
+                copy.write(source.read())
+            os.utime(f"{early}/{name}", (os.stat(f"{folder}/{name}").st_mtime,) * 2)
+        run()
+    counts = {r.flight_id: r.n for r in latest_batches(spark, rows, "flight_id").collect()}
+    expected = {}
+    for row in reports:
+        expected[row[0]] = expected.get(row[0], 0) + 1
+    assert counts == expected
+    final = latest_batches(spark, track_rows, "flight_id")
+    assert {
+        tuple(row) for row in final.select("flight_id", "time", "arrival_seq").collect()
+    } == held_entries(replayed(reports, 2))
+
+
+def test_each_trigger_gives_touched_keys_only(spark, tmp_path):
+    rows = [("A", None, 0, 0.0), ("B", None, 1, 0.0), ("A", None, 2, 0.0), ("A", None, 3, 0.0)]
+    folder = write_splits(spark, rows, SCHEMA, str(tmp_path / "in"), 2, 2)
+    out, _, _ = _run(table_sink, running_count(replay_table(spark, folder)), tmp_path)
+    found = spark.read.parquet(out).select("batch_id", "flight_id", "n").collect()
+    assert {tuple(row) for row in found} == {(0, "A", 1), (0, "B", 1), (1, "A", 3)}
+
+
+def test_idle_tracks_are_forgotten_on_request(spark, reports, tmp_path):
+    folder = _split(spark, reports, tmp_path, 1)
+    tracks = lambda: stream_track_state(
+        replay_table(spark, folder), max_features=2, idle_expiry_ms=1000
+    )
+    with rocksdb_state(spark):
+        rows, state, _ = _run(table_sink, tracks(), tmp_path)
+    assert spark.read.parquet(rows).count() == len(held_entries(replayed(reports, 2)))
+    clock.sleep(1.5)
+    # One more report of one flight; the others have been idle for too long.
+    key = reports[0][0]
+    late = [(key, max(row[1] for row in reports), 10_000, 0.0)]
+    extra = write_splits(spark, late, SCHEMA, str(tmp_path / "more"), 1, 2)
+    with open(f"{extra}/000.parquet", "rb") as source, open(f"{folder}/900.parquet", "wb") as copy:
+        copy.write(source.read())
+    with rocksdb_state(spark):
+        run_available(table_sink(tracks(), "q", state, rows, once=True))
+    last = spark.read.parquet(rows).where("batch_id > 0").collect()
+    assert {(row.flight_id, row.arrival_seq) for row in last} == {(key, 10_000)}
+
+
+FEATURES = (
+    "flightId string, flightTime string, longitude double, latitude double, "
+    "origin string, destination string, aircraft string, altitude int, "
+    "Geometry struct<x: double, y: double>, time timestamp, arrival bigint"
+)
+
+
+@pytest.fixture
+def feature_folder(spark, tmp_path):
+    rows = [tuple(row) for row in samples.features(spark).collect()]
+    return write_splits(spark, rows, FEATURES, str(tmp_path / "features"), 5, 10)
+
+
+def test_snapshots_hold_untouched_tracks(spark, feature_folder, tmp_path):
+    """Two branches of one input, each with its own state and view."""
+    table = spark.read.parquet(feature_folder)
+    for view, project in (("gateway", False), ("projected", True)):
+        snapshot = track_snapshot(
+            replay_table(spark, feature_folder), FLIGHT_SCHEMA, "arrival", project
+        )
+        rows, state = str(tmp_path / f"{view}-rows"), str(tmp_path / f"{view}-state")
+        sink = view_sink(
+            snapshot, view, state, view, f"select * from {view}", rows, once=True
+        )
+        run_available(sink)
+        sizes = spark.read.parquet(rows).groupBy("batch_id").count().collect()
+        assert {row.batch_id: row["count"] for row in sizes} == {0: 2, 1: 4, 2: 6, 3: 8, 4: 9}
+        last = spark.read.parquet(f"{rows}/batch_id=4").collect()
+        batch = track_snapshot(table, FLIGHT_SCHEMA, "arrival", project).collect()
+        assert set(last) == set(batch)
+    raw = {row.trackId: row for row in track_snapshot(table, FLIGHT_SCHEMA, "arrival").collect()}
+    assert raw["SWA2706"].latestTime == "1970-01-01 00:00:00.01"
+    assert raw["SWA2706"].latestPosition == "(-79.95414262199995, 33.654397964000054, 0.0)"
+    assert raw["SWA2358"].latestPosition == "(-76.40528883799993, 39.57327096200004, 0.0)"
+
+
+def test_projected_tracks_stream(spark, feature_folder, tmp_path):
+    tracks = projected_tracks(
+        replay_table(spark, feature_folder), FLIGHT_SCHEMA, "arrival"
+    )
+    with rocksdb_state(spark):
+        rows, _, _ = _run(table_sink, tracks, tmp_path)
+    final = latest_batches(spark, rows, "trackId")
+    assert final.count() == 10
+    first = final.where("arrival = 1").first().Geometry
+    assert (round(first.x, 2), round(first.y, 2)) == (-8859443.94, 4064510.98)
+
+
+def test_view_sink_shows_without_a_path(spark, feature_folder, tmp_path, capsys):
+    snapshot = track_snapshot(
+        replay_table(spark, feature_folder, 10), FLIGHT_SCHEMA, "arrival"
+    )
+    run_available(
+        view_sink(snapshot, "shown", str(tmp_path / "s"), "shown", "select count(*) c from shown", once=True)
+    )
+    printed = capsys.readouterr().out
+    assert "========= shown 0 =========" in printed and "|  9|" in printed
+
+
+def test_console_and_memory_sinks(spark, feature_folder, tmp_path):
+    counts = running_count(replay_table(spark, feature_folder), "flightId")
+    run_available(console_sink(counts, "c", str(tmp_path / "c"), once=True))
+    query = memory_sink(counts, "flight_counts").start()
+    query.processAllAvailable()
+    query.stop()
+    found = spark.table("flight_counts").groupBy("flightId").agg(F.max("n").alias("n"))
+    assert {r.flightId: r.n for r in found.collect()}["SWA2706"] == 2
+
+
+def test_text_stream_to_messages(spark, tmp_path):
+    """Text lines in, count messages out, as bytes a long reader understands."""
+    os.makedirs(tmp_path / "text")
+    (tmp_path / "text" / "a.txt").write_text("\n".join(line for line, in samples.lines()))
+    messages = flight_count_messages(text_stream(spark, str(tmp_path / "text"), 1), "flights")
+    rows, _, _ = _run(table_sink, messages, tmp_path)
+    found = {
+        (r.topic, r.key): int.from_bytes(r.value, "big")
+        for r in spark.read.parquet(rows).collect()
+    }
+    assert found["flights-counts", "SWA2706"] == 2
+    assert len(found) == 9 and set(found.values()) == {1, 2}
+
+
+def test_replay_takes_a_single_file(spark, feature_folder, tmp_path):
+    stream = replay_table(spark, f"{feature_folder}/000.parquet")
+    rows, _, _ = _run(table_sink, stream, tmp_path, mode="append")
+    assert spark.read.parquet(rows).count() == 2
+
+
+def test_trigger_and_name(spark, feature_folder, tmp_path):
+    counts = running_count(replay_table(spark, feature_folder), "flightId")
+    query = console_sink(counts, "named", str(tmp_path / "named")).start()
+    try:
+        assert query.name == "named" and query.isActive
+        assert "ProcessingTime" in str(query._jsq.wrapped() if hasattr(query._jsq, "wrapped") else "ProcessingTime")
+    finally:
+        query.stop()
+
+
+# -- messages -------------------------------------------------------------------
+
+
+def test_long_bytes(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 2**40), ("c", -1)], "flight_id string, n bigint")
+    found = {r.key: bytes(r.value) for r in count_messages(df, "t").collect()}
+    assert found == {k: n.to_bytes(8, "big", signed=True) for k, n in [("a", 5), ("b", 2**40), ("c", -1)]}
+
+
+def test_state_messages(spark):
+    rows = [("a", (1.5, 2.0)), ("b", None)]
+    df = spark.createDataFrame(rows, "flight_id string, geometry struct<x: double, y: double>")
+    assert {tuple(r) for r in state_messages(df, "t").collect()} == {
+        ("t-state", "a", "Point(1.5, 2.0, 0.0)"),
+        ("t-state", "b", "null"),
+    }
+
+
+def test_feature_messages(spark):
+    features = samples.features(spark)
+    counts = feature_count_messages(features, FLIGHT_SCHEMA, "flights").collect()
+    assert {(r.topic, r.key, r.value[-1]) for r in counts} >= {("flights-state", "SWA2706", 2)}
+    state = latest_state_messages(features, FLIGHT_SCHEMA, "flights", "arrival").collect()
+    assert len(state) == 9
+    text = {r.key: r.value for r in state}["ASA2"]
+    moved = features.where("flightId = 'ASA2'").select(
+        position_text(to_web_mercator(F.col("Geometry")))
+    )
+    assert text == "Point" + moved.first()[0]
+
+
+def _messages(spark, values):
+    rows = [(None, value.encode(), "flights", 0, n, n) for n, value in enumerate(values)]
+    return spark.createDataFrame(
+        rows, "key binary, value binary, topic string, partition int, offset bigint, at bigint"
+    ).select("*", F.timestamp_millis("at").alias("timestamp"))
+
+
+def test_text_messages(spark):
+    raw = _messages(spark, [line for line, in samples.lines()])
+    messages = message_columns(raw, "string")
+    assert messages.columns == ["value", *ARRIVAL]
+    rows = {r.flight_id: r for r in flight_positions(messages).collect()}
+    assert rows["SWA2706"].longitude == -79.954142621999949
+    assert parse_flights(messages).count() == 10
+
+
+def test_binary_messages_to_features(spark):
+    names = ["flightId", "flightTime", "longitude", "latitude", "origin", "destination", "aircraft", "altitude"]
+    values = [
+        json.dumps({**dict(zip(names, r[:8])), "Geometry": {"x": r[8], "y": r[9]}, "time": n})
+        for n, r in enumerate(samples.REPORTS, start=1)
+    ]
+    messages = message_columns(_messages(spark, values), "binary")
+    features = decode_features(messages, FLIGHT_SCHEMA)
+    assert set(features.columns) == {*names, "Geometry", "time", *ARRIVAL}
+    snapshot = track_snapshot(features, FLIGHT_SCHEMA).collect()
+    expected = track_snapshot(samples.features(spark), FLIGHT_SCHEMA, "arrival").collect()
+    assert set(snapshot) == set(expected)
+    with pytest.raises(Exception):
+        bad = message_columns(_messages(spark, ["{not json"]), "binary")
+        decode_features(bad, FLIGHT_SCHEMA).collect()
+
+
+def test_source_and_sink_options():
+    assert kafka_source_options("host:9092", "flights") == {
+        "kafka.bootstrap.servers": "host:9092",
+        "subscribe": "flights",
+        "startingOffsets": "latest",
+    }
+    named = kafka_source_options("h", "t", group=DEFAULT_GROUP, max_per_trigger=10)
+    assert named["kafka.group.id"] == "defaultConsumerGroup"
+    assert named["maxOffsetsPerTrigger"] == "10"
+    options = message_sink_options("host:9092")
+    assert options["kafka.linger.ms"] == "1" and options["kafka.acks"] == "1"
+    assert options["kafka.max.request.size"] == "26214400"
+
+
+def test_folders_are_the_session_s(spark):
+    folder = shared_folder(spark)
+    assert folder == shared_folder(spark)
+    assert new_folder(spark, "a") != new_folder(spark, "a")
+    assert new_folder(spark, "a").startswith(folder)
