@@ -87,6 +87,22 @@ def _starts(values: pa.Array) -> np.ndarray:
     return np.concatenate(([True], codes[1:] != codes[:-1]))
 
 
+def _plain(value, kind: T.DataType):
+    """Nested records as tuples, the form the state takes and gives back."""
+    if value is None or not isinstance(kind, T.StructType):
+        return value
+    parts = value.values() if isinstance(value, dict) else value
+    return tuple(_plain(part, f.dataType) for part, f in zip(parts, kind.fields))
+
+
+def _named(value, kind: T.DataType):
+    """Nested tuples as rows with field names, the form results need."""
+    if value is None or not isinstance(kind, T.StructType):
+        return value
+    parts = [_named(part, field.dataType) for part, field in zip(value, kind.fields)]
+    return Row(*kind.names)(*parts)
+
+
 class _TrackProcessor(StatefulProcessor):
     """Holds one key's entries as a list state of at most ``max_features`` rows."""
 
@@ -108,14 +124,14 @@ class _TrackProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getListState(STATE_NAME, self.entry, self.ttl_ms)
-        self.emitted = Row(*self.output.names)
 
     def close(self) -> None:
         pass
 
     def _load(self) -> dict:
         at = self.entry.names.index(self.time)
-        return {tuple(held)[at]: tuple(held) for held in self.state.get()}
+        held = [_plain(entry, self.entry) for entry in self.state.get()]
+        return {entry[at]: entry for entry in held}
 
     def _store(self, track: dict) -> None:
         entries = [track[time] for time in sorted(track)]
@@ -130,7 +146,10 @@ class _TrackProcessor(StatefulProcessor):
     def _entry(self, row: Row) -> tuple:
         if row[self.time] is None:
             raise ValueError("a track report has no time")
-        return tuple(row[name] for name in self.entry.names)
+        return _plain([row[name] for name in self.entry.names], self.entry)
+
+    def _emit(self, *values) -> Row:
+        return _named(values, self.output)
 
     def _purge(self, track: dict) -> None:
         if len(track) > self.max_features:
@@ -155,7 +174,7 @@ class TrackPerTrigger(_TrackProcessor):
             self._purge(track)
         self._store(track)
         for time in sorted(track):
-            yield self.emitted(*key, *track[time])
+            yield self._emit(*key, *track[time])
 
 
 class TrackPerRecord(_TrackProcessor):
@@ -174,16 +193,34 @@ class TrackPerRecord(_TrackProcessor):
                 track[row[self.time]] = self._entry(row)
                 self._purge(track)
             latest = track[max(track)] if track else nothing
-            yield self.emitted(*key, *self._arrived(row), added, *latest)
+            yield self._emit(*key, *self._arrived(row), added, *latest)
         self._store(track)
 
 
 def _narrow(
     df: DataFrame, key: str, time: str, order: list[str], columns: Sequence[str]
-) -> tuple[DataFrame, T.StructType]:
+) -> tuple[DataFrame, T.StructType, set[str]]:
+    """The columns a track needs, their state schema, and the timestamps of them.
+
+    Timestamps go through Python and the state as microseconds, which no time
+    zone of a worker can touch.
+    """
     names = [time, *order, *[c for c in columns if c not in {key, time, *order}]]
-    kept = df.select(key, *names)
-    return kept, T.StructType([T.StructField(n, kept.schema[n].dataType) for n in names])
+    stamps = {n for n in names if isinstance(df.schema[n].dataType, T.TimestampType)}
+    kept = df.select(
+        key, *[F.unix_micros(n).alias(n) if n in stamps else F.col(n) for n in names]
+    )
+    entry = T.StructType([T.StructField(n, kept.schema[n].dataType) for n in names])
+    return kept, entry, stamps
+
+
+def _restored(df: DataFrame, stamps: set[str]) -> DataFrame:
+    return df.select(
+        *[
+            F.timestamp_micros(n).alias(n) if n in stamps else F.col(n)
+            for n in df.columns
+        ]
+    )
 
 
 def stream_track_state(
@@ -198,18 +235,20 @@ def stream_track_state(
     """Per trigger, all entries of each track that got records in it.
 
     State is kept for good unless ``idle_expiry_ms`` is given; then a track
-    that gets no records for that long is forgotten.
+    that gets no records for that long is forgotten. Such a query runs on a
+    live trigger: it always has a next batch to look for idle tracks in.
     """
     order = arrival_columns(arrival)
-    kept, entry = _narrow(df, key, time, order, columns)
+    kept, entry, stamps = _narrow(df, key, time, order, columns)
     thinned = reduce_batches(kept, key, time, arrival, max_features)
     output = T.StructType([kept.schema[key], *entry.fields])
-    return thinned.groupBy(key).transformWithState(
+    tracks = thinned.groupBy(key).transformWithState(
         TrackPerTrigger(entry, output, time, order, max_features, idle_expiry_ms),
         output,
         "Update",
         "None" if idle_expiry_ms is None else "ProcessingTime",
     )
+    return _restored(tracks, stamps)
 
 
 def stream_track_records(
@@ -223,7 +262,7 @@ def stream_track_records(
 ) -> DataFrame:
     """Per input record: ``key``, arrival, ``added`` and ``latest_...`` columns."""
     order = arrival_columns(arrival)
-    kept, entry = _narrow(df, key, time, order, columns)
+    kept, entry, stamps = _narrow(df, key, time, order, columns)
     latest = [T.StructField(f"latest_{f.name}", f.dataType) for f in entry.fields]
     output = T.StructType(
         [
@@ -233,22 +272,27 @@ def stream_track_records(
             *latest,
         ]
     )
-    return kept.groupBy(key).transformWithState(
+    records = kept.groupBy(key).transformWithState(
         TrackPerRecord(entry, output, time, order, max_features, idle_expiry_ms),
         output,
         "Update",
         "None" if idle_expiry_ms is None else "ProcessingTime",
     )
+    return _restored(records, stamps | {f"latest_{name}" for name in stamps})
 
 
-def stored_tracks(spark: SparkSession, checkpoint: str) -> DataFrame:
+def stored_tracks(
+    spark: SparkSession, checkpoint: str, timestamps: Sequence[str] = ()
+) -> DataFrame:
     """All entries a track query holds as of its last trigger, touched or not.
 
-    Reads the state partitions of the checkpoint in parallel, one row per entry.
+    Reads the state partitions of the checkpoint in parallel, one row per
+    entry. ``timestamps`` names the columns that were timestamps (with time
+    zone) in the stream, since the state holds those as microseconds.
     """
     held = (
         spark.read.format("statestore")
         .option("stateVarName", STATE_NAME)
         .load(checkpoint)
     )
-    return held.select("key.*", F.col("list_element.*"))
+    return _restored(held.select("key.*", "list_element.*"), set(timestamps))
