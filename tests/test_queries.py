@@ -1,0 +1,84 @@
+"""Every registered query against its SQL twin, and the plans of some."""
+
+from collections import Counter
+from glob import glob
+from os.path import basename
+
+import duckdb
+import pytest
+
+import __spark_entry__ as registered
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def database():
+    connection = duckdb.connect()
+    for path in glob(f"{SMALL}/*.parquet"):
+        table = basename(path).removesuffix(".parquet")
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}'")
+    return connection
+
+
+def test_every_query_has_a_twin():
+    assert set(registered.queries()) == set(registered.oracle_sql())
+
+
+@pytest.mark.parametrize("name", registered.queries())
+def test_query_equals_its_twin(spark, database, name):
+    cursor = database.execute(registered.oracle_sql()[name])
+    columns = sorted(column[0] for column in cursor.description)
+    theirs = Counter(
+        tuple(row)
+        for row in database.execute(
+            "SELECT {} FROM ({})".format(
+                ", ".join(f'"{c}"' for c in columns), registered.oracle_sql()[name]
+            )
+        ).fetchall()
+    )
+    result = registered.queries()[name](spark, SMALL)
+    assert sorted(result.columns) == columns
+    mine = Counter(tuple(row) for row in result.select(*columns).collect())
+    assert sum(mine.values()) > 0
+    assert mine == theirs
+
+
+def test_entry(spark):
+    result = registered.entry(spark)
+    assert result.columns == ["trackId", "latestTime", "latestPosition"]
+    assert result.count() == 15
+
+
+def _plan(spark, name):
+    frame = registered.queries()[name](spark, SMALL)
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "name",
+    [n for n in registered.queries() if not n.endswith("_stream") and n != "replay_table"],
+)
+def test_no_cross_join_and_no_python_but_for_wkb(spark, name):
+    plan = _plan(spark, name)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert ("Python" in plan or "ArrowEval" in plan) == (name == "wkb_roundtrip")
+
+
+def test_scans_read_needed_columns_only(spark):
+    assert "ReadSchema: struct<user_id:bigint>" in _plan(spark, "count_messages")
+    assert "props" not in _plan(spark, "track_state")
+
+
+def test_counts_are_combined_before_the_shuffle(spark):
+    plan = _plan(spark, "count_messages")
+    assert plan.count("HashAggregate") == 2 and plan.count("Exchange") == 1
+    assert "SortAggregate" not in _plan(spark, "last_known_position")
+
+
+def test_tracks_are_cut_down_before_each_shuffle(spark):
+    lines = [line for line in _plan(spark, "track_state").splitlines()]
+    shuffles = [n for n, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2
+    for n in shuffles:
+        assert "WindowGroupLimit" in lines[n + 1] and "Partial" in lines[n + 1]
