@@ -102,6 +102,8 @@ FLIGHT_SCHEMA = json.dumps(
 
 # All files of a replayed table go into few triggers; tests use one file each.
 FILES_PER_TRIGGER = 1000
+# Records of a trigger are put in order per track, so this one stays small.
+RECORD_FILES_PER_TRIGGER = 8
 
 
 # -- inputs ------------------------------------------------------------------
@@ -446,15 +448,22 @@ def stored_tracks_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def track_records_stream(spark: SparkSession, folder: str) -> DataFrame:
     work = new_folder(spark, "track-records")
+    source = replay_table(spark, events_path(folder), RECORD_FILES_PER_TRIGGER)
     records = stream_track_records(
-        _stream(spark, folder), time="flight_time", max_features=1
+        flights_of(source), time="flight_time", max_features=2
     )
     with rocksdb_state(spark):
         run_available(
             table_sink(records, "track_records", f"{work}/state", f"{work}/rows", once=True)
         )
-    return spark.read.parquet(f"{work}/rows").select(
-        "flight_id", "arrival_seq", "latest_flight_time"
+    return (
+        spark.read.parquet(f"{work}/rows")
+        .groupBy("flight_id")
+        .agg(
+            F.count(F.lit(1)).alias("records"),
+            F.count_if("added").alias("added"),
+            F.max("latest_flight_time").alias("newest"),
+        )
     )
 
 
@@ -737,10 +746,9 @@ SELECT flight_id, arrival_seq, count(*) OVER w AS n,
 FROM flights
 WINDOW w AS (PARTITION BY flight_id ORDER BY arrival_seq ROWS UNBOUNDED PRECEDING)""",
         "track_records_stream": f"""WITH {_FLIGHTS}
-SELECT flight_id, arrival_seq,
-       max(flight_time) OVER (PARTITION BY flight_id ORDER BY arrival_seq
-                              ROWS UNBOUNDED PRECEDING) AS latest_flight_time
-FROM flights""",
+SELECT flight_id, count(*) AS records, count(DISTINCT flight_time) AS added,
+       max(flight_time) AS newest
+FROM flights GROUP BY 1""",
         "snapshot_raw": snapshot,
         "snapshot_projected": f"""WITH {_FLIGHTS}, {_LATEST}
 SELECT flight_id AS "trackId", CAST(time AS VARCHAR) AS "latestTime", {_MERCATOR}

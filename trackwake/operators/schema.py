@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -123,13 +125,12 @@ def apply_feature_schema(
         raise ValueError(f"columns missing for the schema: {missing}")
     required = [f.name for f in schema.fields if not f.nullable]
     if required:
+        complete = reduce(and_, [F.col(name).isNotNull() for name in required])
         broken = F.concat_ws(
             ", ", *[F.when(F.col(name).isNull(), F.lit(name)) for name in required]
         )
         stop = F.raise_error(F.concat(F.lit("null in required column: "), broken))
-        df = df.where(
-            F.when(broken == "", F.lit(True)).otherwise(stop.cast("boolean"))
-        )
+        df = df.where(F.when(complete, F.lit(True)).otherwise(stop.cast("boolean")))
     return df.select(
         *[
             _converted(F.col(f.name), df.schema[f.name].dataType, f).alias(

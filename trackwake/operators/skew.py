@@ -53,11 +53,12 @@ def join_per_key(
     """
     width = shuffle_width(many)
     splits = hot_key_splits(many, key, width)
+    # Rows without a key have no partner and may go anywhere.
+    pieces = F.when(F.col(key).isNull(), F.lit(width)).otherwise(
+        F.coalesce(_SPLITS, F.lit(1))
+    )
     dealt = many.join(F.broadcast(splits), key, "left").withColumn(
-        _SPLIT,
-        F.when(
-            F.col(_SPLITS).isNotNull(), F.pmod(F.spark_partition_id(), F.col(_SPLITS))
-        ).otherwise(F.lit(0)),
+        _SPLIT, F.pmod(F.spark_partition_id(), pieces)
     )
     repeated = one.join(F.broadcast(splits), key, "left").withColumn(
         _SPLIT,

@@ -2,7 +2,7 @@
 
 ``stream_track_state`` is the streaming twin of ``operators.tracks.track_state``
 and ends in the same entries for the same records, however they are cut into
-batches, as long as batches follow arrival order.
+batches and in whatever order those come.
 """
 
 from __future__ import annotations
@@ -143,6 +143,10 @@ class _TrackProcessor(StatefulProcessor):
     def _arrived(self, row: Row) -> tuple:
         return tuple(row[name] for name in self.arrival)
 
+    def _held_arrival(self, entry: tuple) -> tuple:
+        # Entries hold their time first, then their arrival.
+        return entry[1 : 1 + len(self.arrival)]
+
     def _entry(self, row: Row) -> tuple:
         if row[self.time] is None:
             raise ValueError("a track report has no time")
@@ -161,17 +165,13 @@ class TrackPerTrigger(_TrackProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         track = self._load()
-        arrivals: dict = {}
         for row in rows:
-            time = row[self.time]
-            arrived = self._arrived(row)
-            # What the state holds was there first; within a trigger the
-            # earliest arrival of a time wins, in whatever order rows come.
-            if time in track and (time not in arrivals or arrivals[time] < arrived):
-                continue
-            arrivals[time] = arrived
-            track[time] = self._entry(row)
-            self._purge(track)
+            held = track.get(row[self.time])
+            # Of equal times the earliest arrival is kept, in whatever order
+            # and in whichever triggers they come.
+            if held is None or self._arrived(row) < self._held_arrival(held):
+                track[row[self.time]] = self._entry(row)
+                self._purge(track)
         self._store(track)
         for time in sorted(track):
             yield self._emit(*key, *track[time])
@@ -180,8 +180,9 @@ class TrackPerTrigger(_TrackProcessor):
 class TrackPerRecord(_TrackProcessor):
     """Emits, per input record, whether it was added and the latest entry then.
 
-    Records of a trigger are put in arrival order first, so the source's limit
-    per trigger bounds what one key can gather.
+    Records are taken trigger by trigger, those of a trigger in arrival order.
+    They are put in order in memory, so the source's limit per trigger bounds
+    what one key can gather.
     """
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
