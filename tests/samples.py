@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-# flight, flight time, attribute longitude and latitude, origin, destination,
+# Flight, flight time, attribute longitude and latitude, origin, destination,
 # aircraft, altitude, point x and y; the report's instant is its place, in ms.
 REPORTS = [
     ("SWA2706", "3/16/2012 02:25:30 PM", -79.585739043999979, 34.265521039000078, "IAD", "TPA", "B733", 37000, -79.585739043999979, 34.265521039000078),
@@ -19,6 +19,7 @@ REPORTS = [
     ("SWA2706", "3/16/2012 02:25:39 PM", -79.954142621999949, 33.654397964000054, "IAD", "TPA", "B733", 37000, -79.954142621999949, 33.654397964000054),
 ]
 
+# Fixed values.
 TRACES = {
     "Update received for flightId=SWA2706, longitude=-79.58573904399998, latitude=34.26552103900008!",
     "Update received for flightId=SWA724, longitude=-76.40528883799993, latitude=39.57327096200004!",

@@ -21,6 +21,8 @@ from trackwake.plans.programs import (
     flight_positions,
     latest_state_messages,
     projected_tracks,
+    start_replay_tracker,
+    start_snapshots,
     track_snapshot,
 )
 from trackwake.sources.kafka import (
@@ -300,6 +302,27 @@ def test_view_sink_shows_without_a_path(spark, feature_folder, tmp_path, capsys)
     assert "========= shown 0 =========" in printed and "|  9|" in printed
 
 
+def test_programs_on_a_replayed_table(spark, feature_folder, tmp_path, capfd):
+    features = lambda: replay_table(spark, feature_folder, 10)
+    started = [
+        start_replay_tracker(features(), FLIGHT_SCHEMA, str(tmp_path / "r"), "arrival"),
+        *start_snapshots(features(), FLIGHT_SCHEMA, str(tmp_path / "s"), "arrival"),
+    ]
+    try:
+        for query in started:
+            query.processAllAvailable()
+            assert query.exception() is None
+    finally:
+        for query in started:
+            query.stop()
+    assert {query.name for query in started} == {
+        "replay_tracker", "snapshot_gateway", "snapshot_projected",
+    }
+    printed = capfd.readouterr().out
+    assert "========= gateway 0 =========" in printed
+    assert "========= projected 0 =========" in printed
+
+
 def test_console_and_memory_sinks(spark, feature_folder, tmp_path):
     counts = running_count(replay_table(spark, feature_folder), "flightId")
     run_available(console_sink(counts, "c", str(tmp_path / "c"), once=True))
@@ -417,6 +440,27 @@ def test_source_and_sink_options():
     assert options["kafka.max.request.size"] == "26214400"
 
 
+class _Session:
+    """Just the settings of a session."""
+
+    def __init__(self, **settings):
+        self.settings = {name.replace("_", "."): v for name, v in settings.items()}
+        self.conf = self
+
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
+
+
+def test_folder_without_a_setting():
+    named = _Session(spark_master="yarn", spark_checkpoint_dir="hdfs:///shared/")
+    assert shared_folder(named) == "hdfs:///shared"
+    local = _Session(spark_master="local[2]")
+    assert os.path.isdir(shared_folder(local))
+    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(ValueError):
+        shared_folder(_Session(spark_master="yarn"))
+
+
 def test_folders_are_the_session_s(spark):
     folder = shared_folder(spark)
     assert folder == shared_folder(spark)

@@ -85,6 +85,13 @@ def feature_count_messages(features: DataFrame, schema: str, topic: str) -> Data
     return count_messages(counts, topic, key="trackId", suffix=STATE_SUFFIX)
 
 
+def start_feature_counter(
+    features: DataFrame, schema: str, bootstrap: str, topic: str, checkpoint: str
+) -> StreamingQuery:
+    messages = feature_count_messages(features, schema, topic)
+    return message_sink(messages, "feature_counter", checkpoint, bootstrap).start()
+
+
 def projected_features(
     features: DataFrame, schema: str, keep: tuple[str, ...] = ()
 ) -> DataFrame:
