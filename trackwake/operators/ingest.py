@@ -46,27 +46,24 @@ def _number(text: Column, kind: str) -> Column:
     return F.when(~special | spelled, number)
 
 
-def _typed(line: Column) -> list[Column]:
-    texts = split_fields(line, len(FLIGHT_LAYOUT))
+def _typed(texts: list[Column]) -> list[Column]:
     return [
         (text if kind == "string" else _number(text, kind)).alias(name)
         for text, (name, kind) in zip(texts, FLIGHT_LAYOUT)
     ]
 
 
-def line_problem(line: Column) -> Column:
+def _problem(typed: list[Column], last: Column) -> Column:
     """What is wrong with a line, null for a good one."""
-    last = split_fields(line, len(FLIGHT_LAYOUT))[-1]
     checks = F.when(F.coalesce(last, F.lit("")) == "", F.lit("missing field"))
-    for typed, (name, kind) in zip(_typed(line), FLIGHT_LAYOUT):
+    for column, (name, kind) in zip(typed, FLIGHT_LAYOUT):
         if kind != "string":
-            checks = checks.when(typed.isNull(), F.lit(f"bad {name}"))
+            checks = checks.when(column.isNull(), F.lit(f"bad {name}"))
     return checks
 
 
-def _record(line: Column) -> Column:
+def _record(typed: list[Column]) -> Column:
     """The typed fields of a good line as one struct, null for a bad line."""
-    typed = _typed(line)
     numbers = [
         column.cast("double")
         for column, (_, kind) in zip(typed, FLIGHT_LAYOUT)
@@ -91,29 +88,31 @@ def parse_flights(
     malformed lines out; ``flight_rejects`` over the same lines returns exactly
     those. ``keep`` names further input columns to carry along, such as arrival.
     """
-    text = F.col(value)
+    texts = split_fields(F.col(value), len(FLIGHT_LAYOUT))
+    typed = _typed(texts)
+    record = _record(typed)
     if mode == "fail":
         told = F.concat_ws(
-            ": ", F.lit("malformed flight line"), line_problem(text), text
+            ": ",
+            F.lit("malformed flight line"),
+            _problem(typed, texts[-1]),
+            F.col(value),
         )
         kind = ", ".join(f"{name}: {kind}" for name, kind in FLIGHT_LAYOUT)
-        record = F.coalesce(
-            _record(text), F.raise_error(told).cast(f"struct<{kind}>")
-        )
-        parsed = lines.select(record.alias(_RECORD), *keep)
+        stop = F.raise_error(told).cast(f"struct<{kind}>")
+        parsed = lines.select(F.coalesce(record, stop).alias(_RECORD), *keep)
     elif mode == "reject":
-        parsed = _parsed(lines, text, F.col(_RECORD).isNotNull())
+        parsed = _parsed(lines, record, F.col(_RECORD).isNotNull())
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return parsed.select(*keep, f"{_RECORD}.*")
 
 
-def _parsed(lines: DataFrame, text: Column, wanted: Column) -> DataFrame:
+def _parsed(lines: DataFrame, record: Column, wanted: Column) -> DataFrame:
     # Naming the partition in the filter keeps the optimizer from copying the
     # whole parse into it, where its parts would be worked out over and over.
     return (
-        lines.withColumn(_RECORD, _record(text))
-        .withColumn(_PARTITION, F.spark_partition_id())
+        lines.withColumns({_RECORD: record, _PARTITION: F.spark_partition_id()})
         .where(wanted & (F.col(_PARTITION) >= 0))
         .drop(_PARTITION)
     )
@@ -121,15 +120,16 @@ def _parsed(lines: DataFrame, text: Column, wanted: Column) -> DataFrame:
 
 def flight_rejects(lines: DataFrame, value: str = "value") -> DataFrame:
     """The malformed lines, with all input columns and a ``reason``."""
-    text = F.col(value)
-    rejected = _parsed(lines, text, F.col(_RECORD).isNull()).drop(_RECORD)
-    return rejected.withColumn("reason", line_problem(text))
+    texts = split_fields(F.col(value), len(FLIGHT_LAYOUT))
+    typed = _typed(texts)
+    rejected = _parsed(lines, _record(typed), F.col(_RECORD).isNull())
+    return rejected.drop(_RECORD).withColumn("reason", _problem(typed, texts[-1]))
 
 
 def flight_lines(flights: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Flight rows written as text lines, the inverse of ``parse_flights``."""
-    fields = [F.col(name).cast("string") for name, _ in FLIGHT_LAYOUT]
-    return flights.select(*keep, F.concat_ws(",", *fields).alias("value"))
+    fields = ", ".join(f"cast({name} as string)" for name, _ in FLIGHT_LAYOUT)
+    return flights.selectExpr(*keep, f"concat_ws(',', {fields}) as value")
 
 
 def parse_flight_time(text: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackwake.functions import track_array
 from trackwake.operators.ordering import Arrival, arrival_columns
@@ -173,7 +173,7 @@ def track_remove(
     return marked.groupBy(key).agg(F.sort_array(F.collect_list(kept)).alias("track"))
 
 
-def track_range(tracks: DataFrame, start, end) -> DataFrame:
+def track_range(tracks: DataFrame, start: Column, end: Column) -> DataFrame:
     """Tracks cut down to ``start <= time < end``."""
     return tracks.withColumn(
         "track", track_array.time_range(F.col("track"), start, end)

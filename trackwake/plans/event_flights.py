@@ -18,21 +18,18 @@ def flights_of(events: DataFrame) -> DataFrame:
     order (a bijection, unique at any size); ``track_day`` is a track time with
     many ties.
     """
-    event_id = F.col("event_id")
-    return events.select(
-        F.concat(F.lit("F"), F.col("user_id").cast("string")).alias("flight_id"),
-        F.col("ts").alias("flight_time"),
-        ((event_id * 37 % 36000).cast("double") / 100.0 - 180.0).alias("longitude"),
-        ((event_id * 17 % 17000).cast("double") / 100.0 - 85.0).alias("latitude"),
-        F.upper(F.substring("event_type", 1, 3)).alias("origin"),
-        F.concat(F.lit("D"), (F.col("user_id") % 7).cast("string")).alias(
-            "destination"
-        ),
-        F.concat(F.lit("A"), (event_id % 5).cast("string")).alias("aircraft"),
-        F.floor(F.col("value") * 100.0).cast("bigint").alias("altitude"),
-        # By way of a date, which no session time zone can shift.
-        F.col("ts").cast("date").cast("timestamp_ntz").alias("track_day"),
-        event_id.bitwiseXOR(F.lit(5461)).alias("arrival_seq"),
+    # The day goes by way of a date, which no session time zone can shift.
+    return events.selectExpr(
+        "concat('F', cast(user_id as string)) as flight_id",
+        "ts as flight_time",
+        "cast(event_id * 37 % 36000 as double) / 100e0 - 180e0 as longitude",
+        "cast(event_id * 17 % 17000 as double) / 100e0 - 85e0 as latitude",
+        "upper(substr(event_type, 1, 3)) as origin",
+        "concat('D', cast(user_id % 7 as string)) as destination",
+        "concat('A', cast(event_id % 5 as string)) as aircraft",
+        "cast(floor(value * 100e0) as bigint) as altitude",
+        "cast(cast(ts as date) as timestamp_ntz) as track_day",
+        "event_id ^ 5461L as arrival_seq",
         "event_id",
     )
 
