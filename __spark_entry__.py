@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 from collections.abc import Callable
 
@@ -516,6 +517,31 @@ def entry(spark: SparkSession) -> DataFrame:
     )
 
 
+def _installed(module: str):
+    """A module of the corpus operators; None where they are not installed."""
+    try:
+        return importlib.import_module(module)
+    except ModuleNotFoundError as missing:
+        if missing.name not in (module, "trackwake.llm"):
+            raise
+        return None
+
+
+def _corpus_queries() -> dict[str, Query]:
+    operators = _installed("trackwake.llm.queries")
+    pipeline = operators and _installed("corpus_pipeline")
+    found = operators.queries() if operators else {}
+    return found | ({"pipeline": pipeline.run} if pipeline else {})
+
+
+def _corpus_sql() -> dict[str, str]:
+    operators = _installed("trackwake.llm.oracles")
+    pipeline = operators and _installed("corpus_pipeline")
+    found = operators.oracle_sql() if operators else {}
+    sql = pipeline.ORACLE_SQL if pipeline else None
+    return found | ({"pipeline": sql} if sql else {})
+
+
 def queries() -> dict[str, Query]:
     return {
         "csv_ingest": csv_ingest,
@@ -557,7 +583,7 @@ def queries() -> dict[str, Query]:
         "snapshot_stream": snapshot_stream,
         "state_messages": state_message_rows,
         "replay_table": replay_table_stream,
-    }
+    } | _corpus_queries()
 
 
 # -- SQL twins -----------------------------------------------------------------
@@ -764,4 +790,4 @@ SELECT 'flights-state' AS topic, flight_id AS key,
               ', 0.0)') AS value
 FROM latest""",
         "replay_table": "SELECT * FROM events",
-    }
+    } | _corpus_sql()
