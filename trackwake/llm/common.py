@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,18 +34,39 @@ def has_word(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS)) != ""
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """Write a frame to the folder of spark.checkpoint.dir and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share.
 
     Only a local session may go without that setting; it gets a temporary folder.
     """
-    spark = frame.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        folder = _local_folder()
+    return folder.rstrip("/")
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="trackwake-llm-")
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and go on from there."""
+    context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="trackwake-llm-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
+
+
+def spread_join(
+    rows: DataFrame, lookup: DataFrame, key: str, deal: Column, *, how: str = "inner", salts: int = 8
+) -> DataFrame:
+    """Join rows, of which a key may have a third, with at most one row per key.
+
+    Each key meets in `salts` places; `deal` says in which, by what a row holds.
+    """
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(deal), F.lit(salts)).cast("int"))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")

@@ -111,6 +111,37 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best"""
 
 
+OP8 = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+w AS (
+  SELECT doc_id, i, lines[i + 1:i + 3] AS win
+  FROM (SELECT doc_id, lines, unnest(generate_series(0, len(lines) - 3)) AS i FROM d)
+  WHERE regexp_matches(array_to_string(lines[i + 1:i + 3], ' '), '[^\x20\x09-\x0D]')),
+later AS (
+  SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS gone
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM later) GROUP BY 1)
+SELECT d.doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+       CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(
+         list_filter(generate_series(0, len(lines) - 1), lambda p: NOT list_contains(gone, p)),
+         lambda p: lines[p + 1]), chr(10)), '') END AS text
+FROM d LEFT JOIN gone g ON d.doc_id = g.doc_id"""
+
+OP9 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM s QUALIFY rank <= 5"""
+
+
 def _op10() -> str:
     quote = lambda text: "'" + text.replace("'", "''") + "'"
     parts, names = [], []
@@ -156,5 +187,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": OP1.format(rules=_rules_sql()),
         "op3_source_mix": OP3,
         "op5_url_filters": OP5,
+        "op8_line_dedup": OP8,
+        "op9_ball_tree_topk": OP9,
         "op10_secret_scan": _op10(),
     }

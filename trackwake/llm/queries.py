@@ -10,7 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackwake.llm import mixing, quality, secrets, urls
+from trackwake.llm import (
+    language,
+    licenses,
+    lines,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    topk,
+    urls,
+)
 from trackwake.llm.common import read_table
 
 
@@ -28,6 +39,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, folder, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return mixing.document_shares(docs).select(
@@ -35,6 +50,10 @@ def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(read_table(spark, folder, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages")
     return urls.filter_urls(pages, urls.rule_table(spark)).select(
@@ -42,6 +61,43 @@ def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.simhash_groups(read_table(spark, folder, "documents"))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return packing.pack_documents(docs, tokenizer=tokenizer_file()).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedup_lines(read_table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "text"
+    )
+
+
+def op9_ball_tree_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.inner_product_topk(
+        read_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0
+    )
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan_secrets(read_table(spark, folder, "documents"))
     of = lambda kind: F.size(
@@ -64,8 +120,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         query.__name__: query
         for query in (
             op1_quality_rules,
+            op2_license_scan,
             op3_source_mix,
+            op4_language_id,
             op5_url_filters,
+            op6_simhash_groups,
+            op7_packing,
+            op8_line_dedup,
+            op9_ball_tree_topk,
             op10_secret_scan,
         )
     }
