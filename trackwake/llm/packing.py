@@ -2,9 +2,9 @@
 
 The rows of an input partition form one stream of tokens. A dynamic programme
 chooses where to cut it into windows of at most `length` tokens: at ends of
-documents or sentences, or every `length` tokens inside a longer sentence. It
-minimises padding plus a penalty for each cut inside a document. Windows are
-padded to `length`, except at a power of two, so a cut costs
+documents or sentences, or `length` tokens after one, inside a sentence. It
+minimises padding plus penalties for cuts inside documents and sentences.
+Windows are padded to `length`, except at a power of two, so a cut costs
 
     cost[j] = penalty[j] + min(min over i in reach: cost[i] + length - (pos[j] - pos[i]),
                                min over powers p:   cost[at pos[j] - p])
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,9 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 
 LENGTH = 1024
 END_ID = 0
+#: What a cut costs, in tokens of padding, inside a document and inside a sentence.
 SENTENCE_PENALTY = 2.0
+TRUNCATION_PENALTY = 8.0
 BLOCK_TOKENS = 1 << 18
-CACHED_WORDS = 400_000
 
 _PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
@@ -52,59 +54,48 @@ _ARROW_SCHEMA = pa.schema(
 
 # Spaces between two characters that no one counts as white space.
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r" \s|\s |^ | $")
-# Words on whose parts all versions of Unicode agree.
-_PLAIN = re.compile(r" ?[!-~À-ÖØ-öø-ɏ\n]*")
-_LETTERS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]?)")
+_SPACES = re.compile(r"\s\s")
+# Characters on whose class all versions of Unicode agree.
+_PLAIN = re.compile(r"[ -~À-ÖØ-öø-ɏ\n\t]*")
+# The pre-tokens of byte-level BPE where no two white spaces meet; then runs of
+# them need no look ahead.
+_SINGLE_SPACED = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
-class WordEncoder:
-    """Token ids of whole texts by a byte-level BPE file, word by word.
+class TextEncoder:
+    """Token ids of whole texts by a byte-level BPE file.
 
-    A space between two characters that are no white space begins a new
-    pre-token, so the ids of a text are those of its words on their own. Words are
-    encoded once and kept, up to a bound. Plain words go through the ranks of the
-    same file, others through the file's own tokenizer.
+    Plain texts go through the file's merges as ranks. In others, a space between
+    two characters that are no white space begins a new pre-token, so the ids of
+    the text are those of its words on their own; words that are not plain go
+    through the file's own tokenizer, as do texts with a special token.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
         self._special = [t["content"] for t in _file(path)["added_tokens"]]
-        self._ranks = _rank_encoding(path)
-        self._held: dict[str, bytes] = {}
-        self._limit = cached
-
-    def _encode(self, word: str) -> bytes:
-        if self._ranks is None or not _PLAIN.fullmatch(word):
-            ids = self._whole.encode(word, add_special_tokens=False).ids
-        elif parts := _LETTERS.fullmatch(word):
-            single = self._ranks._core_bpe.encode_single_piece
-            ids = single(parts[1].encode())
-            if parts[2]:
-                ids = ids + single(parts[2].encode())
-        else:
-            ids = self._ranks.encode_ordinary(word)
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        if any(s in text for s in self._special):
-            ids = self._whole.encode(text, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        parts = _INNER_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        words = [parts[0], *map(" ".__add__, parts[1:])]
-        held = self._held
-        new = set(words).difference(held)
-        for word in new:
-            held[word] = self._encode(word)
-        ids = b"".join(map(held.__getitem__, words))
-        if len(held) > self._limit:
-            for word in new:
-                del held[word]
+        self._spaced = _rank_encoding(path, None)
+        self._single = _rank_encoding(path, _SINGLE_SPACED)
+
+    def _by_file(self, text: str) -> list[int]:
+        return self._whole.encode(text, add_special_tokens=False).ids
+
+    def _by_ranks(self, text: str) -> list[int]:
+        encoding = self._spaced if _SPACES.search(text) else self._single
+        return encoding.encode_ordinary(text)
+
+    def encode(self, text: str) -> list[int]:
+        if self._single is None or any(s in text for s in self._special):
+            return self._by_file(text)
+        if _PLAIN.fullmatch(text):
+            return self._by_ranks(text)
+        first, *rest = _INNER_SPACE.split(text)
+        ids: list[int] = []
+        for word in (first, *map(" ".__add__, rest)):
+            plain = _PLAIN.fullmatch(word)
+            ids += self._by_ranks(word) if plain else self._by_file(word)
         return ids
 
 
@@ -112,7 +103,6 @@ def _file(path: str) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
-@lru_cache
 def _byte_letters() -> dict[str, int]:
     """The characters that byte-level vocabularies write bytes with."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -130,7 +120,7 @@ def _vocabulary(path: str) -> dict[bytes, int]:
     }
 
 
-def _rank_encoding(path: str):
+def _rank_encoding(path: str, pattern: str | None):
     """The file's merges as ranks; None where ids don't follow the order of merges."""
     import tiktoken
     from public_tokenizers import PATTERN
@@ -140,12 +130,20 @@ def _rank_encoding(path: str):
     ids = [model["vocab"].get("".join(pair)) for pair in pairs]
     if None in ids or ids != sorted(set(ids)):
         return None
-    ranks = _vocabulary(path)
-    for special in _file(path)["added_tokens"]:
-        ranks = {t: i for t, i in ranks.items() if i != special["id"]}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = {t["id"] for t in _file(path)["added_tokens"]}
+    ranks = {token: id for token, id in _vocabulary(path).items() if id not in special}
+    return tiktoken.Encoding(
+        "ranks", pat_str=pattern or PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )
 
 
+@lru_cache(maxsize=2)
+def text_encoder(path: str) -> TextEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return TextEncoder(path)
+
+
+@lru_cache(maxsize=2)
 def sentence_ends(path: str) -> np.ndarray:
     """For each id whether its text ends a sentence or line."""
     vocabulary = _vocabulary(path)
@@ -155,6 +153,22 @@ def sentence_ends(path: str) -> np.ndarray:
     return ends
 
 
+def _power_steps(positions: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """The earlier indices a power of two below `length` before each, and where its own begin."""
+    later, earlier = [], []
+    for k in range((length - 1).bit_length()):
+        wanted = positions - (1 << k)
+        at = np.searchsorted(positions, wanted)
+        met = np.flatnonzero(positions[at] == wanted)
+        later.append(met)
+        earlier.append(at[met])
+    js = np.concatenate(later) if later else np.zeros(0, np.int64)
+    order = np.argsort(js, kind="stable")
+    first = np.searchsorted(js[order], np.arange(len(positions) + 1))
+    origins = np.concatenate(earlier)[order] if earlier else js
+    return origins.tolist(), first.tolist()
+
+
 def best_cuts(
     positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH
 ) -> list[int]:
@@ -162,10 +176,9 @@ def best_cuts(
 
     Positions rise from 0, by at most `length` at a step.
     """
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
     pos, fine = positions.tolist(), penalties.tolist()
+    origins, own = _power_steps(positions, length)
     cost, back = [0.0] * len(pos), [0] * len(pos)
-    by_position = {0: 0}
     # Front: the cut with the least cost[i] + pos[i] still in reach.
     queue = deque([(0.0, 0, 0)])
     for j in range(1, len(pos)):
@@ -174,13 +187,11 @@ def best_cuts(
             queue.popleft()
         value, _, origin = queue[0]
         least = value + length - p
-        for power in powers:
-            i = by_position.get(p - power)
-            if i is not None and cost[i] < least:
+        for i in origins[own[j] : own[j + 1]]:
+            if cost[i] < least:
                 least, origin = cost[i], i
         least += fine[j]
         cost[j], back[j] = least, origin
-        by_position[p] = j
         value = least + p
         while queue and queue[-1][0] >= value:
             queue.pop()
@@ -193,24 +204,38 @@ def best_cuts(
 
 
 def _candidates(
-    ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, length: int, penalty: float
+    ids: np.ndarray,
+    doc_ends: np.ndarray,
+    ends: np.ndarray,
+    length: int,
+    penalties: tuple[float, float],
 ) -> tuple[np.ndarray, np.ndarray]:
     """Where a stream may be cut, and what each cut costs beside padding."""
     sentence = np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1
-    places = np.union1d(np.union1d(sentence, doc_ends), [0, len(ids)])
+    whole = np.union1d(np.union1d(sentence, doc_ends), [0, len(ids)])
+    places = np.union1d(whole, whole[whole + length < len(ids)] + length)
     gaps = np.diff(places)
     if (wide := np.flatnonzero(gaps > length)).size:
         inside = [np.arange(places[k] + length, places[k + 1], length) for k in wide]
         places = np.union1d(places, np.concatenate(inside))
-    cost = np.where(np.isin(places, doc_ends), 0.0, penalty)
+    cost = np.where(np.isin(places, whole), penalties[0], penalties[1])
+    cost[np.isin(places, doc_ends)] = 0.0
     return places, cost
 
 
 class _Stream:
     """Packs the documents of one stream, block by block."""
 
-    def __init__(self, ends: np.ndarray, base: int, length: int, penalty: float, block: int):
-        self._ends, self._length, self._penalty, self._block = ends, length, penalty, block
+    def __init__(
+        self,
+        ends: np.ndarray,
+        base: int,
+        length: int,
+        penalties: tuple[float, float],
+        block: int,
+    ):
+        self._ends, self._length, self._block = ends, length, block
+        self._penalties = penalties
         self._next = base
         self._pending: list[tuple] = []  # doc_id, start, ids, doc_tokens
         self._held = 0
@@ -232,7 +257,7 @@ class _Stream:
         borders = np.cumsum([len(p[2]) for p in self._pending])
         finished = np.array([p[1] + len(p[2]) == p[3] for p in self._pending])
         places, cost = _candidates(
-            ids, borders[finished], self._ends, self._length, self._penalty
+            ids, borders[finished], self._ends, self._length, self._penalties
         )
         chosen = best_cuts(places, cost, self._length)
         if not last and len(chosen) > 8:
@@ -276,7 +301,7 @@ def pack_documents(
     text: str = "text",
     length: int = LENGTH,
     end_id: int = END_ID,
-    penalty: float = SENTENCE_PENALTY,
+    penalties: tuple[float, float] = (SENTENCE_PENALTY, TRUNCATION_PENALTY),
     block: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """Pieces of the documents' token ids, each id in exactly one piece.
@@ -292,10 +317,9 @@ def pack_documents(
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ends = WordEncoder(tokenizer), sentence_ends(tokenizer)
+        encoder, ends = text_encoder(tokenizer), sentence_ends(tokenizer)
         base = TaskContext.get().partitionId() << 40
-        stream = _Stream(ends, base, length, penalty, block)
-        final = np.array([end_id], "<u4").tobytes()
+        stream = _Stream(ends, base, length, penalties, block)
         rows: list[tuple] = []
 
         def flush(limit: int) -> Iterator[pa.RecordBatch]:
@@ -308,8 +332,9 @@ def pack_documents(
 
         for batch in batches:
             for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.frombuffer(encoder.encode(content.as_py() or "") + final, "<u4")
-                rows.extend(stream.add(doc_id.as_py(), ids))
+                ids = array("I", encoder.encode(content.as_py() or ""))
+                ids.append(end_id)
+                rows.extend(stream.add(doc_id.as_py(), np.array(ids, "<u4")))
                 yield from flush(2000)
         rows.extend(stream.finish())
         yield from flush(1)
