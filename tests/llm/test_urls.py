@@ -1,0 +1,88 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from trackwake.llm import urls
+
+RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def brute(url, rules=RULES, default="allow"):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+        tail = rest[cut:]
+        end = min([tail.find(c) for c in "?#" if c in tail], default=len(tail))
+        path = tail[:end]
+    fits = [
+        (len(h) + len(p), len(h), v == "allow", h + p, v)
+        for v, h, p in rules
+        if (host == h or host.endswith("." + h)) and path.startswith(p)
+    ]
+    best = max(fits, default=None)
+    return host, path, best[3] if best else None, best[4] if best else default
+
+
+URLS = [
+    None,
+    "",
+    "no scheme",
+    "://",
+    "http://",
+    "http://NET",
+    "http://net/",
+    "https://a.b.example.net/en/x",
+    "https://example.net/en",
+    "https://example.net/en/?q=/de/#f",
+    "http://notexample.com/de/",
+    "http://www.Example.COM/de/1",
+    "http://x.org/fr/",
+    "http://org?/fr/",
+    "ftp://a.net:80/p",
+    "http://example.net/EN/",
+    "x://y://net/",
+    "http://é.net/é\nü",
+    "http://a..net/",
+    "http://" + "a." * 300 + "net/" + "p/" * 2000,
+]
+
+
+def test_verdicts(spark):
+    rows = [(i, u) for i, u in enumerate(URLS)] + [(0, None), (None, "http://net/"), (7, URLS[7])]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS host", "2 AS rule")
+    got = urls.filter_urls(pages, urls.rule_table(spark)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, str(r[1:]))
+    expected = [(i, *brute(u)) for i, u in rows]
+    assert sorted([(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got], key=key) == sorted(expected, key=key)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_rules(spark, seed):
+    draw = random.Random(seed)
+    label = lambda: draw.choice(["a", "b", "com"])
+    host = lambda: ".".join(label() for _ in range(draw.randrange(1, 4)))
+    path = lambda: draw.choice(["", "/"]) + "".join(draw.choice("x/") for _ in range(draw.randrange(4)))
+    rules = [(draw.choice(["allow", "block"]), host(), path()) for _ in range(15)]
+    pages = [(i, f"http://{host()}/{path()}") for i in range(120)]
+    table = spark.createDataFrame([*rules, (None, "a", "/")], "verdict string, host string, path string")
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), table, salts=3)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {
+        i: brute(u, rules) for i, u in pages
+    }
+
+
+def test_empty(spark):
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert urls.filter_urls(pages, urls.rule_table(spark)).collect() == []
+    one = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
+    got = urls.filter_urls(one, urls.rule_table(spark, RULES).limit(0), default="block").collect()
+    assert [(r.rule, r.verdict) for r in got] == [(None, "block")]
