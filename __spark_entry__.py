@@ -6,9 +6,12 @@ import importlib
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackwake.functions import track_array
+from trackwake.functions.geometry import WEB_MERCATOR
 from trackwake.functions.text import update_trace
 from trackwake.operators.aggregates import running_count
 from trackwake.operators.ingest import (
@@ -27,21 +30,31 @@ from trackwake.operators.records import record_updates
 from trackwake.operators.schema import (
     apply_feature_schema,
     feature_rows,
+    geometry_column,
+    projected_schema,
+    read_feature_schema,
     track_updates,
 )
 from trackwake.operators.spatial import (
     null_geometry,
     points_to_wkb,
     project_points,
+    transform_records,
     wkb_to_points,
 )
+from trackwake.operators.history import (
+    history_contains,
+    history_ends,
+    history_next,
+    history_previous,
+    history_range,
+    history_remove,
+    track_history,
+)
 from trackwake.operators.tracks import (
-    track_contains,
     track_entries,
     track_next,
     track_previous,
-    track_range,
-    track_remove,
     track_state,
     track_table,
 )
@@ -52,7 +65,7 @@ from trackwake.plans.event_flights import (
     with_geometry,
 )
 from trackwake.plans.programs import feature_count_messages, track_snapshot
-from trackwake.sources.replay import replay_table
+from trackwake.sources.replay import replay_table, text_stream
 from trackwake.streaming.folders import new_folder
 from trackwake.streaming.sinks import (
     latest_batches,
@@ -60,8 +73,8 @@ from trackwake.streaming.sinks import (
     table_sink,
     view_sink,
 )
+from trackwake.streaming.table import state_table, state_table_sink
 from trackwake.streaming.tracks import (
-    rocksdb_state,
     stored_tracks,
     stream_track_records,
     stream_track_state,
@@ -149,9 +162,9 @@ def _features(df: DataFrame) -> DataFrame:
 
 
 def _tracks(
-    spark: SparkSession, folder: str, max_features: int = 16
+    spark: SparkSession, folder: str, max_features: int = 2
 ) -> DataFrame:
-    """Tracks by day, so that many reports of a flight share a time."""
+    """Bounded tracks by day, so that many reports of a flight share a time."""
     return track_table(
         flights(spark, folder),
         time="track_day",
@@ -160,6 +173,13 @@ def _tracks(
     )
 
 
+def _history(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole tracks by day, one row per entry."""
+    return track_history(
+        flights(spark, folder), time="track_day", columns=["longitude", "latitude"]
+    )
+
+
 def _present(spark: SparkSession, folder: str) -> DataFrame:
     """Probes at times that are in the flight's history."""
     return flights(spark, folder).select(
@@ -267,6 +287,46 @@ def projected_null_geometry(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _northward(batch: pa.RecordBatch, schema) -> pa.RecordBatch:
+    """Records with their latitude moved up by one degree."""
+    at = schema.names.index("latitude")
+    moved = pc.add(batch.column(at), 1.0)
+    columns = [moved if i == at else c for i, c in enumerate(batch.columns)]
+    return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+
+def transformed_columns(spark: SparkSession, folder: str) -> DataFrame:
+    located = flights(spark, folder).select("event_id", "longitude", "latitude")
+    return located.transform(
+        lambda df: df.withColumn("latitude", F.col("latitude") + 1.0)
+    )
+
+
+def transformed_records(spark: SparkSession, folder: str) -> DataFrame:
+    located = flights(spark, folder).select("event_id", "longitude", "latitude")
+    return transform_records(located, _northward, located.schema)
+
+
+def projected_schema_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Projected features, with the reference their schema names."""
+    schema = projected_schema(read_feature_schema(FLIGHT_SCHEMA), WEB_MERCATOR)
+    typed = apply_feature_schema(_features(flights(spark, folder)), FLIGHT_SCHEMA)
+    shape = geometry_column(schema)
+    moved = project_points(typed, shape)
+    return moved.select(
+        F.lit(schema[shape].metadata["wkid"]).alias("schema_wkid"),
+        F.lit(moved.schema[shape].metadata["wkid"]).alias("wkid"),
+        F.col("flightId").alias("flight_id"),
+        _centimetres(f"{shape}.x").alias("x_cm"),
+        _centimetres(f"{shape}.y").alias("y_cm"),
+    )
+
+
+def wkb_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    packed = points_to_wkb(with_geometry(flights(spark, folder)))
+    return packed.select("event_id", F.hex("geometry").alias("wkb"))
+
+
 def wkb_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     located = with_geometry(flights(spark, folder))
     back = wkb_to_points(points_to_wkb(located))
@@ -280,15 +340,13 @@ def track_state_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def track_ends(spark: SparkSession, folder: str) -> DataFrame:
-    track = F.col("track")
-    newest, oldest = track_array.latest(track), track_array.oldest(track)
-    return _tracks(spark, folder).select(
+    return history_ends(_history(spark, folder), columns=["arrival_seq"]).select(
         "flight_id",
-        newest["time"].alias("latest_time"),
-        newest["arrival_seq"].alias("latest_arrival"),
-        oldest["time"].alias("oldest_time"),
-        oldest["arrival_seq"].alias("oldest_arrival"),
-        track_array.size(track).cast("bigint").alias("entries"),
+        "latest_time",
+        F.col("latest_arrival_seq").alias("latest_arrival"),
+        "oldest_time",
+        F.col("oldest_arrival_seq").alias("oldest_arrival"),
+        "entries",
     )
 
 
@@ -316,11 +374,12 @@ def _entries(found: DataFrame, column: str) -> DataFrame:
 
 def _previous(probes, n: int, descending: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        found = track_previous(
+        found = history_previous(
             probes(spark, folder),
-            _tracks(spark, folder),
+            _history(spark, folder),
             "probe_time",
             n,
+            columns=["longitude", "latitude"],
             descending=descending,
         )
         return _entries(found, "previous")
@@ -330,11 +389,12 @@ def _previous(probes, n: int, descending: bool = False) -> Query:
 
 def _next(probes, n: int, descending: bool = False, strict: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        found = track_next(
+        found = history_next(
             probes(spark, folder),
-            _tracks(spark, folder),
+            _history(spark, folder),
             "probe_time",
             n,
+            columns=["longitude", "latitude"],
             descending=descending,
             strict_successor=strict,
         )
@@ -343,25 +403,38 @@ def _next(probes, n: int, descending: bool = False, strict: bool = False) -> Que
     return query
 
 
+def bounded_previous(spark: SparkSession, folder: str) -> DataFrame:
+    """Among the last two entries only, the bound that track_state keeps."""
+    found = track_previous(
+        _present(spark, folder), _tracks(spark, folder), "probe_time"
+    )
+    return _entries(found, "previous")
+
+
+def bounded_next(spark: SparkSession, folder: str) -> DataFrame:
+    found = track_next(_present(spark, folder), _tracks(spark, folder), "probe_time")
+    return _entries(found, "next")
+
+
 def track_range_query(spark: SparkSession, folder: str) -> DataFrame:
     start, end = (F.lit(day).cast("timestamp_ntz") for day in RANGE)
-    cut = track_range(_tracks(spark, folder), start, end)
-    return track_entries(cut).select("flight_id", "time", "arrival_seq")
+    cut = history_range(_history(spark, folder), start, end)
+    return cut.select("flight_id", "time", "arrival_seq")
 
 
 def track_contains_query(spark: SparkSession, folder: str) -> DataFrame:
-    return track_contains(
-        _present(spark, folder), _tracks(spark, folder), "probe_time"
+    return history_contains(
+        _present(spark, folder), _history(spark, folder), "probe_time"
     ).select("event_id", "flight_id", "probe_time", "contained")
 
 
 def track_remove_query(spark: SparkSession, folder: str) -> DataFrame:
     errors = flights(spark, folder).where(F.col("origin") == "ERR")
-    left = track_remove(_tracks(spark, folder), errors, "track_day")
-    return left.select(
-        "flight_id",
-        F.size("track").cast("bigint").alias("entries"),
-        track_array.latest(F.col("track"))["time"].alias("latest_time"),
+    marked = history_remove(_history(spark, folder), errors, "track_day")
+    stays = ~F.col("removed")
+    return marked.groupBy("flight_id").agg(
+        F.count_if(stays).alias("entries"),
+        F.max(F.when(stays, F.col("time"))).alias("latest_time"),
     )
 
 
@@ -376,8 +449,8 @@ def snapshot_raw(spark: SparkSession, folder: str) -> DataFrame:
     latest = latest_report(
         located, "flight_id", "track_day", "arrival_seq", ["geometry"]
     )
-    snapshot_rows(latest, "flight_id").createOrReplaceTempView("gateway")
-    return spark.sql("select * from gateway")
+    rows = snapshot_rows(latest, "flight_id")
+    return spark.sql("select * from {gateway}", gateway=rows)
 
 
 def snapshot_projected(spark: SparkSession, folder: str) -> DataFrame:
@@ -385,13 +458,13 @@ def snapshot_projected(spark: SparkSession, folder: str) -> DataFrame:
     latest = latest_report(
         located, "flight_id", "track_day", "arrival_seq", ["geometry"]
     )
-    latest.select(
+    rows = latest.select(
         F.col("flight_id").alias("trackId"),
         F.col("time").cast("string").alias("latestTime"),
         _centimetres("geometry.x").alias("x_cm"),
         _centimetres("geometry.y").alias("y_cm"),
-    ).createOrReplaceTempView("projected")
-    return spark.sql("select * from projected")
+    )
+    return spark.sql("select * from {projected}", projected=rows)
 
 
 def state_message_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -405,22 +478,66 @@ def state_message_rows(spark: SparkSession, folder: str) -> DataFrame:
 # -- stream queries: run over all that is there, then read the outcome ------------
 
 
-def running_count_stream(spark: SparkSession, folder: str) -> DataFrame:
-    work = new_folder(spark, "running-count")
-    counts = running_count(_stream(spark, folder))
-    run_available(
-        table_sink(counts, "running_count", f"{work}/state", f"{work}/rows", once=True)
+def _kept(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """The outcome of a stream that keeps current rows per flight."""
+    work = new_folder(spark, name)
+    sink = state_table_sink(
+        rows, name, f"{work}/state", f"{work}/rows", "flight_id", once=True
     )
-    return latest_batches(spark, f"{work}/rows", "flight_id")
+    run_available(spark, sink)
+    return state_table(spark, f"{work}/rows", rows.schema)
+
+
+def running_count_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return _kept(spark, running_count(_stream(spark, folder)), "running_count")
 
 
 def last_known_position_stream(spark: SparkSession, folder: str) -> DataFrame:
-    work = new_folder(spark, "last-position")
-    positions = last_known_position(_stream(spark, folder))
-    run_available(
-        table_sink(positions, "last_position", f"{work}/state", f"{work}/rows", once=True)
-    )
-    return latest_batches(spark, f"{work}/rows", "flight_id")
+    return _kept(spark, last_known_position(_stream(spark, folder)), "last_position")
+
+
+def text_stream_count(spark: SparkSession, folder: str) -> DataFrame:
+    """Flight lines in text files, read as a stream and counted."""
+    source = new_folder(spark, "lines")
+    flight_lines(flights(spark, folder)).write.text(source)
+    return _kept(spark, running_count(parse_flights(text_stream(spark, source))), "text_count")
+
+
+def snapshot_branches(spark: SparkSession, folder: str) -> DataFrame:
+    """Two stateful branches over one stream, raw and projected."""
+    work = new_folder(spark, "branches")
+    features = _features(_stream(spark, folder))
+    found = []
+    for view, project in (("gateway", False), ("projected", True)):
+        snapshot = track_snapshot(features, FLIGHT_SCHEMA, "arrival_seq", project)
+        query = run_available(
+            spark,
+            view_sink(
+                snapshot,
+                f"branch_{view}",
+                f"{work}/{view}",
+                view,
+                f"select * from {view}",
+                f"{work}/{view}-rows",
+                once=True,
+            ),
+        )
+        last = query.lastProgress["batchId"]
+        rows = spark.read.parquet(f"{work}/{view}-rows/batch_id={last}")
+        found.append(rows.select(F.lit(view).alias("branch"), "trackId", "latestTime"))
+    return found[0].union(found[1])
+
+
+def restarted_count_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A count stopped and started again over its checkpoint: nothing counts twice."""
+    work = new_folder(spark, "restart")
+    for _ in range(2):
+        counts = running_count(_stream(spark, folder))
+        sink = state_table_sink(
+            counts, "restarted", f"{work}/state", f"{work}/rows", "flight_id", once=True
+        )
+        run_available(spark, sink)
+    return state_table(spark, f"{work}/rows", counts.schema)
 
 
 def track_state_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -428,10 +545,10 @@ def track_state_stream(spark: SparkSession, folder: str) -> DataFrame:
     tracks = stream_track_state(
         _stream(spark, folder), time="track_day", max_features=2
     )
-    with rocksdb_state(spark):
-        run_available(
-            table_sink(tracks, "track_state", f"{work}/state", f"{work}/rows", once=True)
-        )
+    run_available(
+        spark,
+        table_sink(tracks, "track_state", f"{work}/state", f"{work}/rows", once=True),
+    )
     return latest_batches(spark, f"{work}/rows", "flight_id")
 
 
@@ -440,10 +557,10 @@ def stored_tracks_stream(spark: SparkSession, folder: str) -> DataFrame:
     tracks = stream_track_state(
         _stream(spark, folder), time="track_day", max_features=3
     )
-    with rocksdb_state(spark):
-        run_available(
-            table_sink(tracks, "stored_tracks", f"{work}/state", f"{work}/rows", once=True)
-        )
+    run_available(
+        spark,
+        table_sink(tracks, "stored_tracks", f"{work}/state", f"{work}/rows", once=True),
+    )
     return stored_tracks(spark, f"{work}/state")
 
 
@@ -453,10 +570,10 @@ def track_records_stream(spark: SparkSession, folder: str) -> DataFrame:
     records = stream_track_records(
         flights_of(source), time="flight_time", max_features=2
     )
-    with rocksdb_state(spark):
-        run_available(
-            table_sink(records, "track_records", f"{work}/state", f"{work}/rows", once=True)
-        )
+    run_available(
+        spark,
+        table_sink(records, "track_records", f"{work}/state", f"{work}/rows", once=True),
+    )
     return (
         spark.read.parquet(f"{work}/rows")
         .groupBy("flight_id")
@@ -474,6 +591,7 @@ def snapshot_stream(spark: SparkSession, folder: str) -> DataFrame:
         _features(_stream(spark, folder)), FLIGHT_SCHEMA, "arrival_seq"
     )
     query = run_available(
+        spark,
         view_sink(
             snapshot,
             "snapshot",
@@ -482,7 +600,7 @@ def snapshot_stream(spark: SparkSession, folder: str) -> DataFrame:
             "select * from featureTracks",
             f"{work}/rows",
             once=True,
-        )
+        ),
     )
     last = query.lastProgress["batchId"]
     return spark.read.parquet(f"{work}/rows/batch_id={last}")
@@ -492,9 +610,10 @@ def replay_table_stream(spark: SparkSession, folder: str) -> DataFrame:
     work = new_folder(spark, "replay")
     rows = replay_table(spark, events_path(folder), FILES_PER_TRIGGER)
     run_available(
+        spark,
         table_sink(
             rows, "replay", f"{work}/state", f"{work}/rows", mode="append", once=True
-        )
+        ),
     )
     return spark.read.parquet(f"{work}/rows").drop("batch_id")
 
@@ -573,6 +692,15 @@ def queries() -> dict[str, Query]:
         "track_next_2_reversed": _next(_present, 2, descending=True),
         "track_next_absent": _next(_absent, 1),
         "track_next_absent_strict": _next(_absent, 1, strict=True),
+        "transformed_columns": transformed_columns,
+        "transformed_records": transformed_records,
+        "projected_schema": projected_schema_rows,
+        "wkb_bytes": wkb_bytes,
+        "text_stream_count": text_stream_count,
+        "snapshot_branches": snapshot_branches,
+        "restarted_count_stream": restarted_count_stream,
+        "track_previous_bounded": bounded_previous,
+        "track_next_bounded": bounded_next,
         "track_range": track_range_query,
         "track_contains": track_contains_query,
         "track_remove": track_remove_query,
@@ -605,7 +733,8 @@ _FLIGHTS = """flights AS (
   FROM events)"""
 
 
-def _first_arrived(time: str, limit: int, name: str = "track") -> str:
+def _first_arrived(time: str, limit: int | None, name: str = "track") -> str:
+    bound = "" if limit is None else f"WHERE age <= {limit}"
     return f"""distinct_times AS (
   SELECT *, row_number() OVER (PARTITION BY flight_id, {time}
                                ORDER BY arrival_seq) AS copy
@@ -615,18 +744,25 @@ ranked AS (
   FROM distinct_times WHERE copy = 1),
 {name} AS (
   SELECT flight_id, {time} AS time, arrival_seq, longitude, latitude
-  FROM ranked WHERE age <= {limit})"""
+  FROM ranked {bound})"""
 
 
-_TRACK16 = _first_arrived("track_day", 16)
+_TRACK = _first_arrived("track_day", None)
 _LATEST = _first_arrived("track_day", 1, "latest")
 _MERCATOR = """CAST(round(6378137e0 * radians(longitude) * 100) AS BIGINT) AS x_cm,
        CAST(round(6378137e0 * ln(tan(pi() / 4 + radians(latitude) / 2)) * 100)
             AS BIGINT) AS y_cm"""
 
 
-def _probe_sql(shift: str, pick: str) -> str:
-    return f"""WITH {_FLIGHTS}, {_TRACK16},
+def _little_endian(name: str) -> str:
+    """A double's bytes as hexadecimal text, the last byte first."""
+    digits = f"hex(CAST(CAST({name} AS BIT) AS BLOB))"
+    pairs = ", ".join(f"substr({digits}, {at}, 2)" for at in range(15, 0, -2))
+    return f"concat({pairs})"
+
+
+def _probe_sql(shift: str, pick: str, limit: int | None) -> str:
+    return f"""WITH {_FLIGHTS}, {_first_arrived("track_day", limit)},
 probes AS (
   SELECT event_id, flight_id, track_day + INTERVAL {shift} AS probe_time FROM flights),
 {pick}
@@ -634,7 +770,12 @@ SELECT event_id, flight_id, probe_time, place, entry_time, longitude, latitude
 FROM found"""
 
 
-def _previous_sql(n: int, shift: str = "0 HOUR", descending: bool = False) -> str:
+def _previous_sql(
+    n: int,
+    shift: str = "0 HOUR",
+    descending: bool = False,
+    limit: int | None = None,
+) -> str:
     place = f"age - 1" if descending else f"{n} - age"
     return _probe_sql(
         shift,
@@ -644,6 +785,7 @@ def _previous_sql(n: int, shift: str = "0 HOUR", descending: bool = False) -> st
          count(*) OVER (PARTITION BY p.event_id) AS available
   FROM probes p JOIN track t ON p.flight_id = t.flight_id AND t.time < p.probe_time),
 found AS (SELECT *, {place} AS place FROM met WHERE age <= {n} AND available >= {n})""",
+        limit,
     )
 
 
@@ -652,6 +794,7 @@ def _next_sql(
     shift: str = "0 HOUR",
     descending: bool = False,
     strict: bool = False,
+    limit: int | None = None,
 ) -> str:
     skip = 0 if strict else 1
     compare = ">" if strict else ">="
@@ -667,6 +810,7 @@ def _next_sql(
 found AS (
   SELECT *, {place} AS place FROM met
   WHERE nth > {skip} AND nth <= {n + skip} AND available >= {n + skip})""",
+        limit,
     )
 
 
@@ -691,6 +835,8 @@ FROM flights GROUP BY flight_id"""
         return f"""WITH {_FLIGHTS}, {_first_arrived('track_day', limit)}
 SELECT flight_id, time AS track_day, arrival_seq FROM track"""
 
+    moved = f"""WITH {_FLIGHTS}
+SELECT event_id, longitude, latitude + 1 AS latitude FROM flights"""
     snapshot = f"""WITH {_FLIGHTS}, {_LATEST}
 SELECT flight_id AS "trackId", CAST(time AS VARCHAR) AS "latestTime",
        concat('(', CAST(longitude AS VARCHAR), ', ', CAST(latitude AS VARCHAR), ', 0.0)')
@@ -732,7 +878,7 @@ SELECT event_id, longitude AS lon, latitude AS lat FROM flights""",
         "track_state": entries(2),
         "track_state_stream": entries(2),
         "stored_tracks_stream": entries(3),
-        "track_ends": f"""WITH {_FLIGHTS}, {_TRACK16}
+        "track_ends": f"""WITH {_FLIGHTS}, {_TRACK}
 SELECT flight_id, max(time) AS latest_time,
        arg_max(arrival_seq, time) AS latest_arrival,
        min(time) AS oldest_time, arg_min(arrival_seq, time) AS oldest_arrival,
@@ -749,15 +895,29 @@ SELECT flight_id, time, arrival_seq, longitude, latitude FROM latest""",
         "track_next_2_reversed": _next_sql(2, descending=True),
         "track_next_absent": _next_sql(1, "12 HOUR"),
         "track_next_absent_strict": _next_sql(1, "12 HOUR", strict=True),
-        "track_range": f"""WITH {_FLIGHTS}, {_TRACK16}
+        "transformed_columns": moved,
+        "transformed_records": moved,
+        "projected_schema": f"""WITH {_FLIGHTS}
+SELECT 3857 AS schema_wkid, 3857 AS wkid, flight_id, {_MERCATOR} FROM flights""",
+        "wkb_bytes": f"""WITH {_FLIGHTS}
+SELECT event_id, concat('0101000000', {_little_endian('longitude')}, {_little_endian('latitude')}) AS wkb
+FROM flights""",
+        "text_stream_count": counts,
+        "restarted_count_stream": counts,
+        "snapshot_branches": f"""WITH {_FLIGHTS}
+SELECT branch, flight_id AS "trackId", CAST(max(flight_time) AS VARCHAR) AS "latestTime"
+FROM flights CROSS JOIN (VALUES ('gateway'), ('projected')) AS b(branch) GROUP BY 1, 2""",
+        "track_previous_bounded": _previous_sql(1, limit=2),
+        "track_next_bounded": _next_sql(1, limit=2),
+        "track_range": f"""WITH {_FLIGHTS}, {_TRACK}
 SELECT flight_id, time, arrival_seq FROM track
 WHERE time >= TIMESTAMP '{RANGE[0]}' AND time < TIMESTAMP '{RANGE[1]}'""",
-        "track_contains": f"""WITH {_FLIGHTS}, {_TRACK16}
+        "track_contains": f"""WITH {_FLIGHTS}, {_TRACK}
 SELECT f.event_id, f.flight_id, f.track_day AS probe_time,
        t.time IS NOT NULL AS contained
 FROM flights f
 LEFT JOIN track t ON f.flight_id = t.flight_id AND f.track_day = t.time""",
-        "track_remove": f"""WITH {_FLIGHTS}, {_TRACK16},
+        "track_remove": f"""WITH {_FLIGHTS}, {_TRACK},
 errors AS (
   SELECT DISTINCT flight_id, track_day AS time FROM flights WHERE origin = 'ERR')
 SELECT t.flight_id, count(*) FILTER (WHERE e.time IS NULL) AS entries,

@@ -42,8 +42,8 @@ from trackwake.streaming.sinks import (
     table_sink,
     view_sink,
 )
+from trackwake.streaming.state import rocksdb_state
 from trackwake.streaming.tracks import (
-    rocksdb_state,
     stored_tracks,
     stream_track_records,
     stream_track_state,
@@ -79,7 +79,7 @@ def _split(spark, reports, tmp_path, splits):
 
 def _run(sink, df, tmp_path, name="q", **options):
     rows, state = str(tmp_path / f"{name}-rows"), str(tmp_path / f"{name}-state")
-    query = run_available(sink(df, name, state, rows, once=True, **options))
+    query = run_available(df.sparkSession, sink(df, name, state, rows, once=True, **options))
     return rows, state, query
 
 
@@ -167,10 +167,10 @@ def test_restart_counts_every_record_once(spark, reports, tmp_path):
 
     def run():
         stream = replay_table(spark, early)
-        run_available(table_sink(running_count(stream), "restart", state, rows, once=True))
+        run_available(spark, table_sink(running_count(stream), "restart", state, rows, once=True))
         tracks = stream_track_state(replay_table(spark, early), max_features=2)
         with rocksdb_state(spark):
-            run_available(table_sink(tracks, "restart_t", track_state, track_rows, once=True))
+            run_available(spark, table_sink(tracks, "restart_t", track_state, track_rows, once=True))
 
     for batch in (files[:2], files[2:]):
         for name in batch:
@@ -262,7 +262,7 @@ def test_snapshots_hold_untouched_tracks(spark, feature_folder, tmp_path):
         sink = view_sink(
             snapshot, view, state, view, f"select * from {view}", rows, once=True
         )
-        run_available(sink)
+        run_available(spark, sink)
         sizes = spark.read.parquet(rows).groupBy("batch_id").count().collect()
         assert {row.batch_id: row["count"] for row in sizes} == {0: 2, 1: 4, 2: 6, 3: 8, 4: 9}
         last = spark.read.parquet(f"{rows}/batch_id=4").collect()
@@ -296,10 +296,11 @@ def test_view_sink_shows_without_a_path(spark, feature_folder, tmp_path, capsys)
         replay_table(spark, feature_folder, 10), FLIGHT_SCHEMA, "arrival"
     )
     run_available(
+        spark,
         view_sink(snapshot, "shown", str(tmp_path / "s"), "shown", "select count(*) c from shown", once=True)
     )
     printed = capsys.readouterr().out
-    assert "========= shown 0 =========" in printed and "|  9|" in printed
+    assert "-- shown, trigger 0" in printed and "|  9|" in printed
 
 
 def test_programs_on_a_replayed_table(spark, feature_folder, tmp_path, capfd):
@@ -319,13 +320,13 @@ def test_programs_on_a_replayed_table(spark, feature_folder, tmp_path, capfd):
         "replay_tracker", "snapshot_gateway", "snapshot_projected",
     }
     printed = capfd.readouterr().out
-    assert "========= gateway 0 =========" in printed
-    assert "========= projected 0 =========" in printed
+    assert "-- gateway, trigger 0" in printed
+    assert "-- projected, trigger 0" in printed
 
 
 def test_console_and_memory_sinks(spark, feature_folder, tmp_path):
     counts = running_count(replay_table(spark, feature_folder), "flightId")
-    run_available(console_sink(counts, "c", str(tmp_path / "c"), once=True))
+    run_available(spark, console_sink(counts, "c", str(tmp_path / "c"), once=True))
     query = memory_sink(counts, "flight_counts").start()
     query.processAllAvailable()
     query.stop()

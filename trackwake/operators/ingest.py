@@ -7,6 +7,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trackwake.functions.binding import bind
 from trackwake.functions.text import split_fields
 
 # The eight positional fields of a flight line.
@@ -32,8 +33,7 @@ def binary_payload(messages: DataFrame, value: str = "value") -> DataFrame:
     return messages.withColumn(value, F.col(value).cast("binary"))
 
 
-_RECORD = "__record"
-_PARTITION = "__partition"
+_KINDS = ", ".join(f"{name}: {kind}" for name, kind in FLIGHT_LAYOUT)
 
 
 def _number(text: Column, kind: str) -> Column:
@@ -82,15 +82,16 @@ def parse_flights(
 ) -> DataFrame:
     """Typed rows of flight lines; works on tables and on streams.
 
-    ``mode="fail"`` stops the query at the first malformed line, also when the
-    query uses only fields that are in order. (A query that uses no field at
-    all, such as a bare row count, parses nothing.) ``mode="reject"`` leaves
+    ``mode="fail"`` stops the query at the first malformed line, whatever the
+    query uses of it, a bare row count included. ``mode="reject"`` leaves
     malformed lines out; ``flight_rejects`` over the same lines returns exactly
-    those. ``keep`` names further input columns to carry along, such as arrival.
+    those. ``keep`` names further input columns to carry along, such as arrival;
+    filters on them reach the source.
     """
     texts = split_fields(F.col(value), len(FLIGHT_LAYOUT))
     typed = _typed(texts)
     record = _record(typed)
+    # A generator works a line out once and is never pruned away.
     if mode == "fail":
         told = F.concat_ws(
             ": ",
@@ -98,32 +99,34 @@ def parse_flights(
             _problem(typed, texts[-1]),
             F.col(value),
         )
-        kind = ", ".join(f"{name}: {kind}" for name, kind in FLIGHT_LAYOUT)
-        stop = F.raise_error(told).cast(f"struct<{kind}>")
-        parsed = lines.select(F.coalesce(record, stop).alias(_RECORD), *keep)
-    elif mode == "reject":
-        parsed = _parsed(lines, record, F.col(_RECORD).isNotNull())
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return parsed.select(*keep, f"{_RECORD}.*")
-
-
-def _parsed(lines: DataFrame, record: Column, wanted: Column) -> DataFrame:
-    # Naming the partition in the filter keeps the optimizer from copying the
-    # whole parse into it, where its parts would be worked out over and over.
-    return (
-        lines.withColumns({_RECORD: record, _PARTITION: F.spark_partition_id()})
-        .where(wanted & (F.col(_PARTITION) >= 0))
-        .drop(_PARTITION)
+        stop = F.raise_error(told).cast(f"struct<{_KINDS}>")
+        return lines.select(*keep, F.inline(F.array(F.coalesce(record, stop))))
+    if mode == "reject":
+        return lines.select(*keep, F.inline(F.array_compact(F.array(record))))
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+def judge_flights(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Every line with its ``record`` or, if malformed, its ``reason``: one parse.
+
+    Write or stream this out once to get both accepted and rejected lines from
+    a single pass over the input.
+    """
+    texts = split_fields(F.col(value), len(FLIGHT_LAYOUT))
+    typed = _typed(texts)
+    judged = bind(
+        _record(typed),
+        lambda record: F.struct(
+            record.alias("record"),
+            F.when(record.isNull(), _problem(typed, texts[-1])).alias("reason"),
+        ),
     )
+    return lines.select("*", F.inline(F.array(judged)))
 
 
 def flight_rejects(lines: DataFrame, value: str = "value") -> DataFrame:
     """The malformed lines, with all input columns and a ``reason``."""
-    texts = split_fields(F.col(value), len(FLIGHT_LAYOUT))
-    typed = _typed(texts)
-    rejected = _parsed(lines, _record(typed), F.col(_RECORD).isNull())
-    return rejected.drop(_RECORD).withColumn("reason", _problem(typed, texts[-1]))
+    return judge_flights(lines, value).where(F.col("reason").isNotNull()).drop("record")
 
 
 def flight_lines(flights: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

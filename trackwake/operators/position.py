@@ -7,7 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trackwake.functions.text import position_text, time_text
-from trackwake.operators.ordering import Arrival, arrival_columns, arrival_value
+from trackwake.operators.ordering import (
+    Arrival,
+    arrival_columns,
+    arrival_rank,
+    arrival_value,
+    is_whole,
+    number_of,
+    packed_arrival,
+)
+
+
+def _leaves(name: str, kind: T.DataType, path: Column) -> list[tuple[str, Column]]:
+    if not isinstance(kind, T.StructType):
+        return [(name, path)]
+    found = [(f"{name}.", path.isNotNull())]
+    for field in kind:
+        found += _leaves(f"{name}.{field.name}", field.dataType, path[field.name])
+    return found
+
+
+def _rebuilt(name: str, kind: T.DataType) -> Column:
+    if not isinstance(kind, T.StructType):
+        return F.col(f"`{name}`")
+    fields = [_rebuilt(f"{name}.{f.name}", f.dataType).alias(f.name) for f in kind]
+    return F.when(F.col(f"`{name}.`"), F.struct(*fields))
+
+
+def _picked(df: DataFrame, key: str, rank: Column, columns: Sequence[str], *more: Column) -> DataFrame:
+    """``columns`` of the row with the largest rank, one ``max_by`` for each leaf.
+
+    With a fixed-width rank and fixed-width leaves the buffers stay hash-aggregated.
+    """
+    kinds = {name: df.schema[name].dataType for name in columns}
+    leaves = [leaf for name, kind in kinds.items() for leaf in _leaves(name, kind, F.col(name))]
+    picked = [F.max_by(value, rank).alias(name) for name, value in leaves]
+    found = df.groupBy(key).agg(*more, *picked)
+    names = [c for c in found.columns if c not in {name for name, _ in leaves}]
+    return found.select(*names, *[_rebuilt(n, k).alias(n) for n, k in kinds.items()])
 
 
 def last_known_position(
@@ -16,13 +53,9 @@ def last_known_position(
     arrival: Arrival = "arrival_seq",
     columns: Sequence[str] = ("longitude", "latitude"),
 ) -> DataFrame:
-    """The values of the report that arrived last, whatever its time says.
-
-    Each value is its own ``max_by`` over the same arrival, so with a single
-    numeric arrival column the buffers stay fixed-width and hash-aggregated.
-    """
-    order = arrival_value(arrival)
-    return df.groupBy(key).agg(*[F.max_by(name, order).alias(name) for name in columns])
+    """The values of the report that arrived last, whatever its time says."""
+    rank = packed_arrival(df, arrival)
+    return _picked(df, key, arrival_value(arrival) if rank is None else rank, columns)
 
 
 def latest_report(
@@ -38,20 +71,16 @@ def latest_report(
     The report is picked in one aggregate, partly before the shuffle, and works
     on streams in update or complete mode.
     """
-    report = F.struct(F.col(time).alias("time"), *columns)
-    # Earlier arrival must rank higher among equal times.
-    rank = F.struct(time, *[_negated(df, name) for name in arrival_columns(arrival)])
-    return (
-        df.groupBy(key)
-        .agg(F.max_by(report, rank).alias("__latest"))
-        .select(key, "__latest.time", *[f"__latest.{name}" for name in columns])
-    )
-
-
-def _negated(df: DataFrame, name: str) -> Column:
-    if isinstance(df.schema[name].dataType, T.TimestampType):
-        return -F.unix_micros(name)
-    return -F.col(name)
+    names = arrival_columns(arrival)
+    if len(names) == 1 and is_whole(df, names[0]) and is_whole(df, time):
+        # Two arrivals differ by less than the step from one time to the next.
+        step = F.lit("2" + "0" * 19).cast("decimal(20,0)")
+        later = number_of(df, time).cast("decimal(18,0)") * step
+        rank = later - number_of(df, names[0]).cast("decimal(19,0)")
+    else:
+        # Earlier arrival must rank higher among equal times.
+        rank = F.struct(time, *[arrival_rank(df, name) for name in names])
+    return _picked(df, key, rank, columns, F.max(time).alias("time"))
 
 
 def snapshot_rows(

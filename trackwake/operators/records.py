@@ -6,78 +6,83 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trackwake.operators.skew import HOT, hot_keys
+from trackwake.operators.ordering import Arrival, arrival_columns, arrival_rank
+from trackwake.operators.skew import numbered_range, range_cuts
 
-_CHUNK = "__chunk"
+_RANGE = "__range"
+_REPORT = "__report"
 
 
 def record_updates(
     df: DataFrame,
     key: str = "flight_id",
     time: str = "time",
-    arrival: str = "arrival_seq",
+    arrival: Arrival = "arrival_seq",
     columns: Sequence[str] = (),
-    chunk_width: int = 1_000_000,
 ) -> DataFrame:
     """For each record, its track's count and latest report just after it.
 
-    Returns ``key, arrival, n, latest_time`` and ``latest_<column>`` for each of
-    ``columns``. ``arrival`` is a whole number, unique per track. A track with
-    more than its share of all rows is cut into chunks of ``chunk_width``
-    arrival numbers, which bounds the rows of any one window group; what
-    happened before a chunk comes from one summary row per chunk.
+    Returns ``key``, the arrival columns, ``n``, ``latest_time`` and
+    ``latest_<column>`` for each of ``columns``. A track with more than its
+    share of all rows, that of rows without a key included, is cut into ranges
+    of the first arrival column with about equal numbers of rows; what happened
+    before a range comes from one summary row per range.
     """
-    hot = hot_keys(df, key)
-    number = F.col(arrival)
+    order = arrival_columns(arrival)
+    cuts = range_cuts(df, key, order[0])
     report = F.struct(
         F.col(time).alias("time"),
-        (-F.col(arrival)).alias("rank"),
-        *columns,
-    )
-    rows = (
-        df.select(key, arrival, report.alias("report"))
-        .join(F.broadcast(hot), key, "left")
-        .withColumn(
-            _CHUNK,
-            F.when(F.col(HOT), number - F.pmod(number, F.lit(chunk_width))),
-        )
+        *[arrival_rank(df, name).alias(f"__rank_{name}") for name in order],
+        *[F.col(c).alias(c) for c in columns],
     )
+    rows = numbered_range(df.select(key, *order, report.alias(_REPORT)), cuts, key, order[0], _RANGE)
     within = (
-        Window.partitionBy(key, _CHUNK)
-        .orderBy(arrival)
+        Window.partitionBy(key, _RANGE)
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    inside = rows.select(
+    latest = rows.select(
         key,
-        _CHUNK,
-        arrival,
+        _RANGE,
+        *order,
         F.count(F.lit(1)).over(within).alias("n"),
-        F.max("report").over(within).alias("latest"),
+        F.max(_REPORT).over(within).alias(_REPORT),
+    )
+    if cuts is not None:
+        latest = _with_earlier(rows, latest, key)
+    return latest.select(
+        key,
+        *order,
+        "n",
+        F.col(f"{_REPORT}.time").alias("latest_time"),
+        *[F.col(_REPORT)[c].alias(f"latest_{c}") for c in columns],
     )
+
+
+def _with_earlier(rows: DataFrame, latest: DataFrame, key: str) -> DataFrame:
+    """Counts and reports that take in the ranges before a row's own.
+
+    Range 0 has none before it, so only later ranges of cut keys are summed up.
+    """
     before = (
-        Window.partitionBy(key)
-        .orderBy(_CHUNK)
+        Window.partitionBy("__key")
+        .orderBy("__number")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    earlier = (
-        rows.where(F.col(HOT))
-        .groupBy(key, _CHUNK)
-        .agg(F.count(F.lit(1)).alias("n"), F.max("report").alias("latest"))
-        .select(
-            key,
-            _CHUNK,
-            F.sum("n").over(before).alias("n_before"),
-            F.max("latest").over(before).alias("latest_before"),
-        )
+    sums = rows.groupBy(F.col(key).alias("__key"), F.col(_RANGE).alias("__number")).agg(
+        F.count(F.lit(1)).alias("__n"), F.max(_REPORT).alias("__latest")
+    )
+    earlier = sums.select(
+        "__key",
+        "__number",
+        F.sum("__n").over(before).alias("__n"),
+        F.max("__latest").over(before).alias("__latest"),
+    ).where("__number > 0")
+    met = latest.join(
+        earlier,
+        F.col(key).eqNullSafe(F.col("__key")) & (F.col(_RANGE) == F.col("__number")),
+        "left",
     )
-    return (
-        inside.join(earlier, [key, _CHUNK], "left")
-        .withColumn("latest", F.greatest("latest", "latest_before"))
-        .select(
-            key,
-            arrival,
-            (F.col("n") + F.coalesce("n_before", F.lit(0))).alias("n"),
-            F.col("latest.time").alias("latest_time"),
-            *[F.col(f"latest.{c}").alias(f"latest_{c}") for c in columns],
-        )
+    return met.withColumn("n", F.col("n") + F.coalesce("__n", F.lit(0))).withColumn(
+        _REPORT, F.greatest(_REPORT, "__latest")
     )

@@ -99,12 +99,18 @@ def geometry_column(schema: T.StructType) -> str:
 
 
 def _converted(source: Column, have: T.DataType, field: T.StructField) -> Column:
+    """The column in the field's type; a value that does not fit stops the query.
+
+    Nothing depends on whether the session's casts are strict.
+    """
+    if isinstance(field.dataType, T.StructType):
+        return source.cast(field.dataType)
+    cast = source.try_cast(field.dataType)
     if isinstance(field.dataType, T.TimestampType) and isinstance(have, T.StringType):
-        return F.coalesce(
-            F.try_to_timestamp(source, F.lit("M/d/yyyy hh:mm:ss a")),
-            source.cast("timestamp"),
-        )
-    return source.cast(field.dataType)
+        cast = F.coalesce(F.try_to_timestamp(source, F.lit("M/d/yyyy hh:mm:ss a")), cast)
+    told = F.lit(f"value of {field.name} is no {field.dataType.simpleString()}")
+    stop = F.raise_error(told).cast(field.dataType)
+    return F.coalesce(cast, F.when(source.isNotNull(), stop))
 
 
 def apply_feature_schema(
@@ -115,7 +121,8 @@ def apply_feature_schema(
     """Cast and name columns by a feature schema; works on tables and streams.
 
     Columns are matched by name, and each must be there, geometry and time
-    included. A null in a column declared not nullable stops the query. Roles
+    included. A null in a column declared not nullable stops the query, and so
+    does a value that does not fit its type, with strict casts or without. Roles
     and the spatial reference travel in the column metadata.
     """
     if isinstance(schema, str):

@@ -36,7 +36,7 @@ def _newest(
     return first.drop(_RANK)
 
 
-def _timed(df: DataFrame, time: str) -> DataFrame:
+def timed(df: DataFrame, time: str) -> DataFrame:
     stop = F.raise_error(F.lit("a track report has no time")).cast("boolean")
     return df.where(F.when(F.col(time).isNotNull(), F.lit(True)).otherwise(stop))
 
@@ -48,6 +48,7 @@ def track_state(
     arrival: Arrival = "arrival_seq",
     max_features: int = 2,
     columns: Sequence[str] = (),
+    where: Column | None = None,
 ) -> DataFrame:
     """The track entries of every key, one row per entry.
 
@@ -56,9 +57,13 @@ def track_state(
     that each task hands on few reports before the shuffle and no task ever
     holds all reports of a hot track. The second merges what is left. A report
     without a time stops the query.
+
+    ``where`` picks keys before the first round, where it reaches the source; a
+    filter on the outcome would have to wait for that round.
     """
+    df = df if where is None else df.where(where)
     order = arrival_columns(arrival)
-    narrow = _timed(df, time).select(
+    narrow = timed(df, time).select(
         key, time, *order, *[c for c in columns if c not in {key, time, *order}]
     )
     if max_features <= 0:

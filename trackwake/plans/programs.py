@@ -1,14 +1,19 @@
 """The complete jobs: from an input table or stream to what is published.
 
 Each ``..._messages``/``..._snapshot`` function maps a DataFrame to a DataFrame
-and runs on tables and streams alike; the ``start_...`` functions attach a live
-topic and a sink, with one checkpoint folder per query.
+and runs on tables and streams alike. The ``start_...`` functions attach a sink
+to a stream, with one checkpoint folder per query and the state in RocksDB;
+message sinks can be replaced by any other, and topics are read by
+``sources.kafka`` and ``kafka_features``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from trackwake.functions.text import update_trace
 from trackwake.operators.aggregates import running_count
@@ -37,13 +42,26 @@ from trackwake.sources.kafka import (
     ARRIVAL,
     kafka_source_options,
     kafka_stream,
-    kafka_text_stream,
 )
-from trackwake.streaming.sinks import console_sink, memory_sink, message_sink, view_sink
-from trackwake.streaming.tracks import rocksdb_state, stream_track_state
+from trackwake.streaming.sinks import (
+    console_sink,
+    message_sink,
+    view_sink,
+)
+from trackwake.streaming.state import start
+from trackwake.streaming.table import state_table_sink
+from trackwake.streaming.tracks import stream_track_state
 
 TRACK_LENGTH = 2
 
+# From messages, a query name and a checkpoint folder to a writer.
+MessageSink = Callable[[DataFrame, str, str], DataStreamWriter]
+
+
+def topic_sink(bootstrap: str) -> MessageSink:
+    """Publish to the topics named in the messages."""
+    return partial(message_sink, bootstrap=bootstrap)
+
 
 def flight_count_messages(lines: DataFrame, topic: str) -> DataFrame:
     """Flight lines to running-count messages on ``<topic>-counts``."""
@@ -51,11 +69,10 @@ def flight_count_messages(lines: DataFrame, topic: str) -> DataFrame:
 
 
 def start_flight_counter(
-    spark: SparkSession, bootstrap: str, topic: str, checkpoint: str
+    lines: DataFrame, topic: str, checkpoint: str, sink: MessageSink
 ) -> StreamingQuery:
-    lines = kafka_text_stream(spark, bootstrap, topic)
     messages = flight_count_messages(lines, topic)
-    return message_sink(messages, "flight_counter", checkpoint, bootstrap).start()
+    return start(lines.sparkSession, sink(messages, "flight_counter", checkpoint))
 
 
 def flight_positions(lines: DataFrame, arrival: Arrival = ARRIVAL) -> DataFrame:
@@ -72,10 +89,21 @@ def flight_traces(lines: DataFrame) -> DataFrame:
 
 
 def start_position_keeper(
-    spark: SparkSession, bootstrap: str, topic: str
+    lines: DataFrame, path: str, checkpoint: str, arrival: Arrival = ARRIVAL
 ) -> StreamingQuery:
-    lines = kafka_text_stream(spark, bootstrap, topic)
-    return memory_sink(flight_positions(lines), "last_known_position").start()
+    """Keep the last known positions in the table at ``path``; can be restarted."""
+    positions = flight_positions(lines, arrival)
+    sink = state_table_sink(positions, "position_keeper", checkpoint, path, "flight_id")
+    return start(lines.sparkSession, sink)
+
+
+def start_position_traces(lines: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Show one trace text per report on the console."""
+    traces = flight_traces(lines)
+    return start(
+        lines.sparkSession,
+        console_sink(traces, "position_traces", checkpoint, mode="append"),
+    )
 
 
 def feature_count_messages(features: DataFrame, schema: str, topic: str) -> DataFrame:
@@ -86,10 +114,10 @@ def feature_count_messages(features: DataFrame, schema: str, topic: str) -> Data
 
 
 def start_feature_counter(
-    features: DataFrame, schema: str, bootstrap: str, topic: str, checkpoint: str
+    features: DataFrame, schema: str, topic: str, checkpoint: str, sink: MessageSink
 ) -> StreamingQuery:
     messages = feature_count_messages(features, schema, topic)
-    return message_sink(messages, "feature_counter", checkpoint, bootstrap).start()
+    return start(features.sparkSession, sink(messages, "feature_counter", checkpoint))
 
 
 def projected_features(
@@ -103,14 +131,14 @@ def projected_features(
 def start_track_publisher(
     features: DataFrame,
     schema: str,
-    bootstrap: str,
     topic: str,
     checkpoint: str,
+    sink: MessageSink,
     arrival: Arrival = ARRIVAL,
 ) -> StreamingQuery:
     """Publish the latest projected position of each touched track."""
     messages = latest_state_messages(features, schema, topic, arrival)
-    return message_sink(messages, "track_publisher", checkpoint, bootstrap).start()
+    return start(features.sparkSession, sink(messages, "track_publisher", checkpoint))
 
 
 def latest_state_messages(
@@ -148,8 +176,9 @@ def start_replay_tracker(
 ) -> StreamingQuery:
     """Show the projected tracks of a replayed feature table on the console."""
     tracks = projected_tracks(features, schema, arrival)
-    with rocksdb_state(features.sparkSession):
-        return console_sink(tracks, "replay_tracker", checkpoint).start()
+    return start(
+        features.sparkSession, console_sink(tracks, "replay_tracker", checkpoint)
+    )
 
 
 def track_snapshot(
@@ -189,7 +218,7 @@ def start_snapshots(
             view,
             query.format(view=view),
         )
-        started.append(sink.start())
+        started.append(start(features.sparkSession, sink))
     return started
 
 

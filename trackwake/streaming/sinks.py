@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from trackwake.streaming.state import start
+
 TRIGGER = "1 second"
 
 # Producer settings of the message sinks.
@@ -18,7 +20,7 @@ PRODUCER_OPTIONS = {
 }
 
 
-def _writer(
+def stream_writer(
     df: DataFrame,
     name: str,
     checkpoint: str,
@@ -44,7 +46,7 @@ def console_sink(
     mode: str = "update",
     once: bool = False,
 ) -> DataStreamWriter:
-    return _writer(df, name, checkpoint, mode, interval, once).format("console")
+    return stream_writer(df, name, checkpoint, mode, interval, once).format("console")
 
 
 def memory_sink(
@@ -72,7 +74,7 @@ def message_sink(
 ) -> DataStreamWriter:
     """Publish ``(topic, key, value)`` rows, at least once each."""
     return (
-        _writer(messages, name, checkpoint, mode, interval)
+        stream_writer(messages, name, checkpoint, mode, interval)
         .format("kafka")
         .options(**message_sink_options(bootstrap))
     )
@@ -95,7 +97,7 @@ def table_sink(
     def write(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _writer(df, name, checkpoint, mode, interval, once).foreachBatch(write)
+    return stream_writer(df, name, checkpoint, mode, interval, once).foreachBatch(write)
 
 
 def latest_batches(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -130,17 +132,17 @@ def view_sink(
         rows.createOrReplaceTempView(view)
         result = rows.sparkSession.sql(query)
         if path is None:
-            print(f"========= {view} {batch_id} =========")
+            print(f"-- {view}, trigger {batch_id}")
             result.show()
         else:
             result.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _writer(snapshot, name, checkpoint, mode, interval, once).foreachBatch(run)
+    return stream_writer(snapshot, name, checkpoint, mode, interval, once).foreachBatch(run)
 
 
-def run_available(writer: DataStreamWriter) -> StreamingQuery:
+def run_available(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
     """Start a query built with ``once=True`` and wait for its end."""
-    query = writer.start()
+    query = start(spark, writer)
     query.awaitTermination()
     return query
 

@@ -1,0 +1,131 @@
+"""A table of current state, merged trigger by trigger.
+
+Keys are dealt over buckets. A trigger rewrites the buckets of the keys it
+touches, so its cost is the touched keys plus the state in their buckets, and
+the table does not grow with history. A small list of versions says which
+trigger wrote each bucket last; a trigger that is run again starts from the list
+before its own, whose buckets are kept until the next one is through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from trackwake.streaming.sinks import TRIGGER, stream_writer
+
+_BUCKET = "__bucket"
+_EMPTY = -1
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return [found.getPath().getName() for found in files.listStatus(folder)]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _triggers(spark: SparkSession, path: str) -> list[int]:
+    """Triggers whose list of versions is complete, in order."""
+    found = [name.removeprefix("trigger=") for name in _children(spark, f"{path}/versions")]
+    return sorted(
+        int(n)
+        for n in found
+        if "_SUCCESS" in _children(spark, f"{path}/versions/trigger={n}")
+    )
+
+
+def _versions(spark: SparkSession, path: str, trigger: int) -> dict[int, int]:
+    rows = spark.read.schema("bucket int, version long").parquet(
+        f"{path}/versions/trigger={trigger}"
+    )
+    return {r["bucket"]: r["version"] for r in rows.collect()}
+
+
+def _bucket_paths(path: str, versions: dict[int, int], buckets=None) -> list[str]:
+    return [
+        f"{path}/data/trigger={version}/{_BUCKET}={bucket}"
+        for bucket, version in versions.items()
+        if version != _EMPTY and (buckets is None or bucket in buckets)
+    ]
+
+
+def _merge(
+    changes: DataFrame, trigger: int, path: str, key: str, buckets: int, gone: str | None
+) -> None:
+    spark = changes.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    before = [n for n in _triggers(spark, path) if n < trigger]
+    held = _versions(spark, path, before[-1]) if before else {}
+    touched = {r[0] for r in changes.select(bucket).distinct().collect()}
+    merged = changes if gone is None else changes.where(~F.col(gone)).drop(gone)
+    if old := _bucket_paths(path, held, touched):
+        kept = spark.read.schema(merged.schema).parquet(*old)
+        named = changes.select(F.col(key).alias("__key")).distinct()
+        kept = kept.join(named, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+        merged = kept.unionByName(merged)
+    out = f"{path}/data/trigger={trigger}"
+    dealt = merged.withColumn(_BUCKET, bucket).repartition(_BUCKET)
+    dealt.write.mode("overwrite").partitionBy(_BUCKET).parquet(out)
+    written = {n.removeprefix(f"{_BUCKET}=") for n in _children(spark, out)}
+    now = held | {b: trigger if str(b) in written else _EMPTY for b in touched}
+    listed = spark.createDataFrame(list(now.items()), "bucket int, version long")
+    listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/trigger={trigger}")
+    _prune(spark, path, {*_bucket_paths(path, held), *_bucket_paths(path, now)}, before)
+
+
+def _prune(spark: SparkSession, path: str, used: set[str], before: list[int]) -> None:
+    """Drop buckets that neither the last two lists name, and older lists."""
+    for trigger in _children(spark, f"{path}/data"):
+        folder = f"{path}/data/{trigger}"
+        own = [f"{folder}/{n}" for n in _children(spark, folder) if n.startswith(_BUCKET)]
+        unused = [p for p in own if p not in used]
+        for target in [folder] if own and len(unused) == len(own) else unused:
+            _delete(spark, target)
+    for trigger in before[:-1]:
+        _delete(spark, f"{path}/versions/trigger={trigger}")
+
+
+def state_table_sink(
+    df: DataFrame,
+    name: str,
+    checkpoint: str,
+    path: str,
+    key: str,
+    buckets: int = 64,
+    gone: str | None = None,
+    mode: str = "update",
+    interval: str | None = TRIGGER,
+    once: bool = False,
+) -> DataStreamWriter:
+    """Keep the rows that each key had in its last trigger, at ``path``.
+
+    A trigger's rows of a key replace those the table has. Rows with the boolean
+    column ``gone`` set take their key out; the table is without that column.
+    ``state_table`` reads it. At most ``buckets`` numbers reach the driver.
+    """
+
+    def merge(rows: DataFrame, trigger: int) -> None:
+        changes = rows.persist()
+        try:
+            if not changes.isEmpty():
+                _merge(changes, trigger, path, key, buckets, gone)
+        finally:
+            changes.unpersist()
+
+    return stream_writer(df, name, checkpoint, mode, interval, once).foreachBatch(merge)
+
+
+def state_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The current rows of a ``state_table_sink``; none before its first trigger."""
+    triggers = _triggers(spark, path)
+    versions = _versions(spark, path, triggers[-1]) if triggers else {}
+    if not (paths := _bucket_paths(path, versions)):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)

@@ -8,7 +8,6 @@ batches and in whatever order those come.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,33 +17,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trackwake.operators.ordering import Arrival, arrival_columns
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = (
-    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-)
-
 STATE_NAME = "track"
 IDLE_EXPIRY_MS = 30 * 60 * 1000
 
 
-@contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Start queries inside this block; their state goes to RocksDB.
-
-    The setting is read when a query starts, so the session gets its own value
-    back right after.
-    """
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
-
-
 def reduce_batches(
     df: DataFrame, key: str, time: str, arrival: Arrival, max_features: int
 ) -> DataFrame:
