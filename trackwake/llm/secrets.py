@@ -41,12 +41,13 @@ BASE = (
     Pattern("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 
-#: Reported where few owners hold the candidate.
+#: Reported where few owners hold the candidate. Repeats that may fail are bounded,
+#: so that a long text is scanned in linear time.
 EXTRA = (
-    Pattern("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
+    Pattern("jwt", r"eyJ[A-Za-z0-9_-]{8,900}\.[A-Za-z0-9_-]{8,900}\.[A-Za-z0-9_-]{8,900}", 0, 28),
     Pattern("bearer", r"[Bb]earer\x20+([A-Za-z0-9._~+/=-]{16,})", 1, 16),
     Pattern("vendor", r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}", 0, 20),
-    Pattern("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]{1,64}:([^\s/:@]{8,})@", 1, 8),
+    Pattern("url_login", r"[a-z][a-z0-9+.-]{0,30}://[^\s/:@]{1,64}:([^\s/:@]{8,200})@", 1, 8),
     Pattern("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}", 0, 32),
 )
 
