@@ -19,6 +19,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from trackwake.llm.common import spread_join
+
 GROUP = 4
 KEPT_OF = 2
 BAND = 8
@@ -198,34 +200,32 @@ def _marks(docs: DataFrame, index: np.ndarray) -> DataFrame:
 
 
 def _regions(hits: DataFrame, sizes: DataFrame, band: int) -> DataFrame:
-    """(_id, _key, template, low, high, first, last): hits that lie together.
+    """(_id, _key, template, low, high): runs of neighbouring diagonals with hits.
 
-    A hit further than the template is long from the one before opens a region.
+    Copies of a template lie on diagonals further apart than half its length, so
+    each begins a region of its own.
     """
-    order = Window.partitionBy("_id", "_key", "template").orderBy("at", "t_at")
-    gap = F.col("at") - F.lag("at").over(order)
-    opened = F.when(gap.isNull() | (gap > F.col("size") + band), 1).otherwise(0)
-    numbered = hits.join(sizes, "template").withColumn("_open", opened)
-    diagonal = F.col("at") - F.col("t_at")
+    sized = spread_join(hits, sizes, "template", F.col("_key"))
+    placed = sized.select(
+        "_id", "_key", "template", "size", (F.col("at") - F.col("t_at")).alias("_diagonal")
+    ).distinct()
+    order = Window.partitionBy("_id", "_key", "template").orderBy("_diagonal")
+    gap = F.col("_diagonal") - F.lag("_diagonal").over(order)
+    apart = gap > F.least(F.lit(band), F.floor(F.col("size") / 2))
+    opened = F.when(gap.isNull() | apart, 1).otherwise(0)
     return (
-        numbered.withColumn("_region", F.sum("_open").over(order))
+        placed.withColumn("_open", opened)
+        .withColumn("_region", F.sum("_open").over(order))
         .groupBy("_id", "_key", "template", "_region")
-        .agg(
-            F.min(diagonal).alias("low"),
-            F.max(diagonal).alias("high"),
-            F.min("at").alias("first"),
-            F.max("at").alias("last"),
-        )
+        .agg(F.min("_diagonal").alias("low"), F.max("_diagonal").alias("high"))
     )
 
 
 def _align(found: list[str], spans: list[tuple[int, int]], region, template: list[str], band: int):
-    # Grams of a frequent phrase may lie on far diagonals; the first word's place bounds them.
-    begin = max(0, min(region["low"], region["first"] - len(template)) - band)
-    end = region["last"] + len(template) + band + 1
-    words = found[begin:end]
-    low = max(region["low"], region["first"] - len(template)) - begin - band
-    high = min(region["high"], region["last"]) - begin + band
+    """(matched, word span, character span) of a region's best alignment, if any."""
+    begin = max(0, region["low"] - band)
+    words = found[begin : region["high"] + len(template) + band]
+    low, high = region["low"] - begin - band, region["high"] - begin + band
     match = banded_alignment(template, words, low, high)
     if not match.matched:
         return None
@@ -233,50 +233,48 @@ def _align(found: list[str], spans: list[tuple[int, int]], region, template: lis
     return match.matched, first, last + 1, spans[first][0], spans[last][1]
 
 
-def _scan(
-    docs: DataFrame, templates: Sequence[Template], id: str, text: str, band: int, coverage: float
-) -> DataFrame:
-    spark = docs.sparkSession
-    words = {t.name: tokens(t.text) for t in templates}
-    index = inverted_index(spark, templates)
-    known = np.unique(np.concatenate([word_groups(w) for w in words.values()]))
-    keyed = docs.select(
-        F.col(id).cast("long").alias("_id"),
-        F.xxhash64(F.col(id), F.col(text)).alias("_key"),
-        F.col(text).alias("text"),
-    )
-    sizes = spark.createDataFrame(
-        [(name, len(w)) for name, w in words.items()], "template string, size int"
-    )
-    # Rows alike in id and text have the same hits; they count once here.
-    hits = _marks(keyed, known).distinct().join(index, "mark")
-    regions = (
-        _regions(hits, sizes, band)
-        .groupBy("_id", "_key")
-        .agg(F.collect_list(F.struct("template", "low", "high", "first", "last")).alias("regions"))
-        .select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), "regions")
-    )
+def _apart(rows: list[dict]) -> list[dict]:
+    """Of matches that overlap, the one with most words, then coverage, then the first."""
+    kept: list[dict] = []
+    best_first = sorted(rows, key=lambda r: (-r["matched"], -r["coverage"], r["word_start"], r["license"]))
+    for row in best_first:
+        if all(row["word_end"] <= k["word_start"] or k["word_end"] <= row["word_start"] for k in kept):
+            kept.append(row)
+    return sorted(kept, key=lambda r: r["word_start"])
+
+
+def _aligned(band: int, coverage: float):
+    """A column function from a text and its regions to what matches in it."""
 
     @F.pandas_udf(_MATCHES)
-    def aligned(texts: pd.Series, regions: pd.Series) -> pd.Series:
+    def matches(texts: pd.Series, regions: pd.Series) -> pd.Series:
         answers = []
         for content, of_text in zip(texts, regions, strict=True):
             spans = [m.span() for m in _TOKEN.finditer(content)]
             found = [content[a:b].lower() for a, b in spans]
             rows = []
             for region in of_text:
-                template = words[region["template"]]
+                template = list(region["words"])
                 match = _align(found, spans, region, template, band)
                 if match and match[0] >= coverage * len(template):
                     share = match[0] / len(template)
                     rows.append(dict(zip(_MATCH, (region["template"], share, *match), strict=True)))
-            answers.append(rows)
+            answers.append(_apart(rows))
         return pd.Series(answers)
 
-    met = keyed.join(
-        regions, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_key") == F.col("_rkey"))
-    )
-    return met.select(F.col("_id").alias("doc_id"), F.inline(aligned("text", "regions")))
+    return matches
+
+
+def _slices(templates: Sequence[Template], words: int) -> list[list[Template]]:
+    slices, held = [[]], 0
+    for template in templates:
+        size = len(tokens(template.text))
+        if slices[-1] and held + size > words:
+            slices.append([])
+            held = 0
+        slices[-1].append(template)
+        held += size
+    return slices
 
 
 def scan_licenses(
@@ -294,20 +292,37 @@ def scan_licenses(
     `coverage` of a match is the share of the template's words that align with
     the text in order; spans are in words and in characters, ends exclusive.
     Texts are compared by their lower-cased runs of letters and digits. Every
-    place of a text that holds a template is reported; so are several templates
-    that fit one place. A null or empty text has no match, repeated rows have as
+    place of a text that holds a template is reported; of templates that fit one
+    place, that with most words matched, then the larger coverage. A null or empty text has no match, repeated rows have as
     many results. Templates of fewer than four words are an error; a list of any
     length is worked off in slices whose index is small enough to send along.
     """
     if short := [t.name for t in templates if len(tokens(t.text)) < GROUP]:
         raise ValueError(f"templates of fewer than {GROUP} words: {short}")
-    slices, held = [[]], 0
-    for template in templates:
-        size = len(tokens(template.text))
-        if slices[-1] and held + size > slice_words:
-            slices.append([])
-            held = 0
-        slices[-1].append(template)
-        held += size
-    scans = [_scan(docs, part, id, text, band, coverage) for part in slices]
-    return reduce(DataFrame.union, scans)
+    spark = docs.sparkSession
+    keyed = docs.select(
+        F.col(id).cast("long").alias("_id"),
+        F.xxhash64(F.col(id), F.col(text)).alias("_key"),
+        F.col(text).alias("text"),
+    )
+    hits = []
+    for part in _slices(templates, slice_words):
+        known = np.unique(np.concatenate([word_groups(tokens(t.text)) for t in part]))
+        # Rows alike in id and text have the same hits; they count once here.
+        found = _marks(keyed, known).distinct()
+        hits.append(spread_join(found, inverted_index(spark, part), "mark", F.col("_key")))
+    table = spark.createDataFrame(
+        [(t.name, len(w), w) for t in templates for w in [tokens(t.text)]],
+        "template string, size int, words array<string>",
+    )
+    regions = _regions(reduce(DataFrame.union, hits), table.drop("words"), band)
+    of_text = (
+        spread_join(regions, table.drop("size"), "template", F.col("_key"))
+        .groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"))
+        .agg(F.collect_list(F.struct("template", "words", "low", "high")).alias("regions"))
+    )
+    met = keyed.join(
+        of_text, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_key") == F.col("_rkey"))
+    )
+    matches = _aligned(band, coverage)("text", "regions")
+    return met.select(F.col("_id").alias("doc_id"), F.inline(matches))
