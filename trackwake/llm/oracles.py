@@ -45,7 +45,7 @@ def _rules_sql() -> str:
         "n_words": "n_words",
         "mean_word_length": "word_chars / n_words",
         "symbol_ratio": "n_symbols / word_chars",
-        "stop_word_ratio": "n_stop_words / n_words",
+        "stop_word_debt": "(n_words - 20 * n_stop_words)",
         "dup_line_ratio": "n_dup_lines / n_lines",
         "repeat_word_ratio": "n_repeat_words / n_words",
     }
