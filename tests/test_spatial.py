@@ -35,7 +35,13 @@ def test_projection(spark):
 
 def test_poles_have_no_projection(spark):
     df = _points(spark, (0.0, 90.0), (0.0, -90.0), (0.0, 91.0))
-    assert [row.geometry for row in project_points(df).collect()] == [None] * 3
+    moved = project_points(df, poles="null")
+    assert [row.geometry for row in moved.collect()] == [None] * 3
+    for at in ((0.0, 90.0), (0.0, -91.0)):
+        with pytest.raises(Exception, match="no Web Mercator image"):
+            project_points(_points(spark, at)).collect()
+    with pytest.raises(ValueError):
+        project_points(df, poles="clip")
 
 
 def test_projection_metadata(spark):

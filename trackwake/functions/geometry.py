@@ -32,20 +32,28 @@ def make_point(x: Column, y: Column) -> Column:
     )
 
 
-def to_web_mercator(point: Column) -> Column:
+def to_web_mercator(point: Column, poles: str = "fail") -> Column:
     """WGS84 degrees to Web Mercator metres.
 
-    The poles have no Web Mercator image, so a latitude of 90 degrees or more
-    in either direction gives a null point.
+    The poles have no Web Mercator image, nor has anything beyond them: a
+    latitude of 90 degrees or more in either direction stops the query, or with
+    ``poles="null"`` gives a null point.
     """
+    if poles not in {"fail", "null"}:
+        raise ValueError(f"unknown way with poles {poles!r}")
     x = F.lit(EARTH_RADIUS) * F.radians(point["x"])
     y = F.lit(EARTH_RADIUS) * F.ln(
         F.tan(F.lit(math.pi / 4) + F.radians(point["y"]) / F.lit(2.0))
     )
-    return F.when(
+    moved = F.when(
         point.isNotNull() & (F.abs(point["y"]) < 90),
         F.struct(x.alias("x"), y.alias("y")),
     )
+    if poles == "null":
+        return moved
+    told = F.concat(F.lit("no Web Mercator image of latitude "), point["y"].cast("string"))
+    stop = F.raise_error(told).cast(POINT)
+    return F.coalesce(moved, F.when(point["y"].isNotNull(), stop))
 
 
 @F.arrow_udf(T.BinaryType())

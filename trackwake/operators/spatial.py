@@ -17,7 +17,10 @@ from trackwake.functions.geometry import (
 
 
 def project_points(
-    df: DataFrame, geometry: str = "geometry", out_wkid: int = WEB_MERCATOR
+    df: DataFrame,
+    geometry: str = "geometry",
+    out_wkid: int = WEB_MERCATOR,
+    poles: str = "fail",
 ) -> DataFrame:
     """Move a point column from WGS84 to Web Mercator.
 
@@ -30,7 +33,7 @@ def project_points(
         return df
     if (source, out_wkid) != (WGS84, WEB_MERCATOR):
         raise ValueError(f"no projection from {source} to {out_wkid}")
-    moved = to_web_mercator(F.col(geometry))
+    moved = to_web_mercator(F.col(geometry), poles)
     return df.withColumn(
         geometry, moved.alias(geometry, metadata={**metadata, "wkid": out_wkid})
     )

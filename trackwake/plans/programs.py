@@ -98,12 +98,10 @@ def start_position_keeper(
 
 
 def start_position_traces(lines: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Show one trace text per report on the console."""
+    """Show one trace text per report on the console, the first ones of a trigger."""
     traces = flight_traces(lines)
-    return start(
-        lines.sparkSession,
-        console_sink(traces, "position_traces", checkpoint, mode="append"),
-    )
+    sink = console_sink(traces, "position_traces", checkpoint, mode="append")
+    return start(lines.sparkSession, sink.option("truncate", False))
 
 
 def feature_count_messages(features: DataFrame, schema: str, topic: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # Where a record stood in its topic; together these order records by arrival.
 ARRIVAL = ("message_time", "message_partition", "message_offset")
 
+# The consumer group's name.
 DEFAULT_GROUP = "defaultConsumerGroup"
 
 
@@ -17,6 +18,11 @@ def kafka_source_options(
     group: str | None = None,
     max_per_trigger: int | None = None,
 ) -> dict[str, str]:
+    """Options of a topic's stream.
+
+    ``max_per_trigger`` bounds the records of a trigger; set it for
+    ``stream_track_records``, which puts a track's records in order in memory.
+    """
     options = {
         "kafka.bootstrap.servers": bootstrap,
         "subscribe": topic,
