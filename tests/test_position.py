@@ -1,0 +1,95 @@
+"""Latest and last reports against a plain reckoning, over kinds of arrival."""
+
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from trackwake.operators.position import last_known_position, latest_report
+
+START = datetime(1969, 12, 31, 23, 59, 58)
+SCHEMA = (
+    "k string, t timestamp, n timestamp_ntz, p int, o long, s string, "
+    "place struct<x:double,y:double>, value double"
+)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    draw = random.Random(4)
+    found = []
+    for i in range(400):
+        at = START + timedelta(microseconds=draw.randrange(0, 9_000_000, 250_000))
+        place = None if i % 7 == 0 else (float(i), None if i % 11 == 0 else -float(i))
+        found.append((draw.choice("abcde"), at, at, draw.randrange(3), i, f"{i:05}", place, float(i)))
+    draw.shuffle(found)
+    return found
+
+
+def plain(rows, rank):
+    best: dict = {}
+    for row in rows:
+        if row[0] not in best or rank(row) > rank(best[row[0]]):
+            best[row[0]] = row
+    return best
+
+
+def values(frame):
+    return {
+        r.k: (r.value, None if r.place is None else tuple(r.place)) for r in frame.collect()
+    }
+
+
+@pytest.mark.parametrize(
+    "arrival,rank",
+    [
+        ("o", lambda r: r[4]),
+        ("s", lambda r: r[5]),
+        (("t", "p", "o"), lambda r: (r[1], r[3], r[4])),
+        (("n", "p", "o"), lambda r: (r[2], r[3], r[4])),
+        (("n", "o"), lambda r: (r[2], r[4])),
+    ],
+)
+def test_last_known_position(spark, rows, arrival, rank):
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found = last_known_position(frame, "k", arrival, ["place", "value"])
+    assert values(found) == {k: (r[7], r[6]) for k, r in plain(rows, rank).items()}
+
+
+@pytest.mark.parametrize("time", ["t", "n"])
+@pytest.mark.parametrize("arrival", ["o", ("p", "o"), ("t", "o")])
+def test_latest_report(spark, rows, time, arrival):
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found = latest_report(frame, "k", time, arrival, ["place", "value"])
+    columns = {"t": 1, "n": 2, "p": 3, "o": 4}
+    names = [arrival] if isinstance(arrival, str) else list(arrival)
+
+    def rank(row):
+        at = [row[columns[n]] for n in names]
+        numbers = [-(a - START).total_seconds() if isinstance(a, datetime) else -a for a in at]
+        return (row[1], *numbers)
+
+    expected = plain(rows, rank)
+    assert values(found) == {k: (r[7], r[6]) for k, r in expected.items()}
+    assert {r.k: r.time for r in found.collect()} == {k: r[1] for k, r in expected.items()}
+
+
+def test_timestamps_without_zone_as_arrival(spark, rows):
+    frame = spark.createDataFrame(rows, SCHEMA).dropDuplicates(["k", "n"])
+    found = latest_report(frame, "k", "t", "n", ["value"])
+    assert found.count() == 5
+
+
+def test_arrival_out_of_range_stops(spark):
+    frame = spark.createDataFrame([("a", START, 100_000, 1, 1.0)], "k string, t timestamp, p int, o long, value double")
+    with pytest.raises(Exception, match="arrival out of range"):
+        last_known_position(frame, "k", ("t", "p", "o"), ["value"]).collect()
+
+
+def test_no_rows(spark):
+    frame = spark.createDataFrame([], SCHEMA)
+    assert last_known_position(frame, "k", "o", ["place"]).collect() == []
+    assert latest_report(frame.where(F.lit(True)), "k", "t", "o", ["place"]).collect() == []
