@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
 from trackwake.llm.common import checkpointed, spread_join
@@ -139,16 +139,14 @@ def print_links(prints: DataFrame) -> DataFrame:
     return pairs.union(stars).where("a != b").distinct()
 
 
-def simhash_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (long) and component_id for every row of `docs`.
-
-    `component_id` is the smallest doc_id reachable over links between
-    fingerprints within two bits, null where all of them are null. Equal
-    fingerprints are one node, so copies form no pairs. Texts without a word
-    share fingerprint zero. Repeated rows give as many results.
-    """
+def _grouped(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """doc_id, print, component_id and a digest of the text for every row."""
     printed = checkpointed(
-        docs.select(F.col(id).alias("doc_id"), fingerprint(F.col(text)).alias("print"))
+        docs.select(
+            F.col(id).alias("doc_id"),
+            fingerprint(F.col(text)).alias("print"),
+            F.xxhash64(text).alias("digest"),
+        )
     )
     nodes = printed.groupBy("print").agg(F.min("doc_id").alias("_least"))
     roots = components(print_links(nodes.select("print")))
@@ -157,7 +155,18 @@ def simhash_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     )
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
     named = spread_join(rooted, least, "root", F.col("print")).select("print", "component_id")
-    return spread_join(printed, named, "print", F.col("doc_id")).select(
+    return spread_join(printed, named, "print", F.col("doc_id"))
+
+
+def simhash_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (long) and component_id for every row of `docs`.
+
+    `component_id` is the smallest doc_id reachable over links between
+    fingerprints within two bits, null where all of them are null. Equal
+    fingerprints are one node, so copies form no pairs. Texts without a word
+    share fingerprint zero. Repeated rows give as many results.
+    """
+    return _grouped(docs, id, text).select(
         "doc_id", F.col("print").alias("fingerprint"), "component_id"
     )
 
@@ -165,33 +174,20 @@ def simhash_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group of near duplicates in `docs` the row with the smallest doc_id.
 
-    All columns stay as they are. Rows that share that doc_id are one document:
-    the one with the smallest fingerprint in the group, then the smallest text
-    digest, stays.
+    All columns stay as they are. Of rows that share that doc_id, the one with
+    the smallest digest of its text stays; rows alike in both are one.
     """
-    groups = simhash_groups(docs)
-    names_group = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    groups = _grouped(docs, "doc_id", "text")
     kept = (
-        groups.groupBy(F.col("doc_id").alias("_kept"))
-        .agg(
-            F.min(F.when(names_group, F.col("fingerprint"))).alias("_print"),
-            F.count("*").alias("_n"),
-        )
-        .where(F.col("_print").isNotNull())
+        groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy(F.col("doc_id").alias("_kept"))
+        .agg(F.min("digest").alias("_digest"))
     )
     nested = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
-    chosen = nested.join(kept, F.col("_doc.doc_id").eqNullSafe(F.col("_kept")))
-    alone = chosen.where("_n = 1").select("_doc")
-    digest = F.sha2(F.coalesce("_doc.text", F.lit("")), 256)
-    shared = (
-        chosen.where("_n > 1")
-        .where(fingerprint("_doc.text") == F.col("_print"))
-        .withColumn("_digest", digest)
-        .dropDuplicates(["_kept", "_digest"])
+    own = nested.withColumn("_own", F.xxhash64("_doc.text"))
+    chosen = own.join(
+        kept, F.col("_doc.doc_id").eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_digest"))
     )
-    first = shared.groupBy(F.col("_kept").alias("_of")).agg(F.min("_digest").alias("_first"))
-    one = shared.join(
-        first,
-        F.col("_kept").eqNullSafe(F.col("_of")) & (F.col("_digest") == F.col("_first")),
-    ).select("_doc")
-    return alone.union(one).select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
+    turn = F.row_number().over(Window.partitionBy("_kept", "_digest").orderBy("_own"))
+    one = chosen.withColumn("_turn", turn).where("_turn = 1")
+    return one.select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
