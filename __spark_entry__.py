@@ -52,7 +52,6 @@ from trackwake.operators.history import (
     track_history,
 )
 from trackwake.operators.tracks import (
-    track_entries,
     track_next,
     track_previous,
     track_state,
