@@ -125,6 +125,17 @@ def test_one_of_each_group_stays(make_docs):
     assert [r.doc_id for r in alone] == [None]
 
 
+def test_groups_without_an_id_of_their_own_keep_a_row(make_docs):
+    draw = random.Random(13)
+    text = lambda: " ".join(str(draw.randrange(10**6)) for _ in range(60))
+    unnamed, repeated, named = [text() for _ in range(5)], [text() for _ in range(3)], text()
+    rows = [(None, t) for t in unnamed * 2] + [(7, t) for t in repeated]
+    rows += [(8, repeated[0]), (None, named), (9, named)]
+    kept = simhash.keep_one(make_docs(rows)).collect()
+    expected = [(None, t) for t in unnamed] + [(7, t) for t in repeated] + [(9, named)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, expected))
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 180)] + [(100, 100), (101, 100)]

@@ -140,7 +140,11 @@ def print_links(prints: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """doc_id, print, component_id and a digest of the text for every row."""
+    """doc_id, print, root, component_id and a digest of the text for every row.
+
+    `root` names the component by its smallest fingerprint, also where doc_ids
+    are null or repeated.
+    """
     printed = checkpointed(
         docs.select(
             F.col(id).alias("doc_id"),
@@ -154,7 +158,7 @@ def _grouped(docs: DataFrame, id: str, text: str) -> DataFrame:
         "print", "_least", F.coalesce("root", "print").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = spread_join(rooted, least, "root", F.col("print")).select("print", "component_id")
+    named = spread_join(rooted, least, "root", F.col("print")).select("print", "root", "component_id")
     return spread_join(printed, named, "print", F.col("doc_id"))
 
 
@@ -174,14 +178,17 @@ def simhash_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group of near duplicates in `docs` the row with the smallest doc_id.
 
-    All columns stay as they are. Of rows that share that doc_id, the one with
-    the smallest digest of its text stays; rows alike in both are one.
+    All columns stay as they are. A group whose doc_ids are all null keeps a row
+    without one. Of a group's rows that share the smallest doc_id, the one with
+    the smallest digest of its text stays; rows alike in both are one. Groups
+    that share a doc_id keep a row each.
     """
     groups = _grouped(docs, "doc_id", "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     kept = (
-        groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias("_kept"))
-        .agg(F.min("digest").alias("_digest"))
+        groups.groupBy("root")
+        .agg(first.alias("_first"))
+        .select(F.col("_first.doc_id").alias("_kept"), F.col("_first.digest").alias("_digest"))
     )
     nested = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
     own = nested.withColumn("_own", F.xxhash64("_doc.text"))
