@@ -63,3 +63,17 @@ def test_ownership_separates_examples(make_docs):
     assert by_id[101] == by_id[None] == [([("bearer", True)], 1, 0)]
     assert by_id[102] == [([], 0, 0)]
     assert secrets.scan_secrets(make_docs(rows).limit(0)).collect() == []
+
+
+def test_an_example_copied_through_one_source_is_no_secret(make_docs):
+    hot, own = "Bearer " + "x" * 20, "Bearer " + "y" * 20
+    rows = [(i, hot, "en", "hub") for i in range(300)]
+    rows += [(1000 + i, own, "en", "hub") for i in range(secrets.MAX_REPOS)]
+    rows += [(1000, own, "en", "hub")]
+    got = secrets.scan_secrets(make_docs(rows)).collect()
+    for r in got:
+        if r.doc_id < 1000:
+            assert (list(r.spans), r.n_live, r.n_copied) == ([], 0, 1)
+        else:
+            assert [(s.live, s.n_owners, s.n_repos) for s in r.spans] == [(True, 1, secrets.MAX_REPOS)]
+    assert len(got) == len(rows)

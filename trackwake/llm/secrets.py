@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership of candidates.
 
 Patterns find candidates in whole texts. A candidate's digest is then counted
-over distinct repositories and owners: what many owners hold is a copied
-example, what few hold looks live. The candidates that the fixed patterns
+over distinct repositories and owners: what many owners or many repositories
+hold is a copied example, what few hold looks live. The candidates that the fixed patterns
 miss are reported where they look live; those of the fixed patterns always are.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trackwake.llm.common import checkpointed
 
 MAX_OWNERS = 2
+#: An example copied through one source is in more documents of it than this.
+MAX_REPOS = 8
 SALTS = 8
 
 
@@ -159,12 +161,14 @@ def scan_secrets(
     base: Sequence[Pattern] = BASE,
     extra: Sequence[Pattern] = EXTRA,
     max_owners: int = MAX_OWNERS,
+    max_repos: int = MAX_REPOS,
 ) -> DataFrame:
     """doc_id, base_spans, spans, n_live and n_copied for every row of `docs`.
 
-    Documents stand for repositories. A candidate is live where at most
-    `max_owners` owners hold it. `base_spans` are the spans of `base`; `spans`
-    adds the live ones of `extra`. Spans are (kind, start, end, live). A null
+    Documents stand for repositories, each within its owner. A candidate is live
+    where at most `max_owners` owners and at most `max_repos` repositories hold
+    it. `base_spans` are the spans of `base`; `spans` adds the live ones of
+    `extra`. Spans are (kind, start, end, live, n_owners, n_repos). A null
     text counts as empty, and rows without a candidate have empty arrays. Rows
     that share a doc_id keep their own spans.
     """
@@ -188,7 +192,9 @@ def scan_secrets(
     # A digest that a third of all rows hold meets its count in SALTS places.
     counted = ownership(scanned).select(
         "digest",
-        (F.col("n_owners") <= max_owners).alias("live"),
+        ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live"),
+        "n_owners",
+        "n_repos",
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
     )
     spans = scanned.where(F.size("spans") > 0).select(
@@ -211,6 +217,8 @@ def scan_secrets(
                         F.col("s.kind").alias("kind"),
                         F.col("s.end").alias("end"),
                         "live",
+                        "n_owners",
+                        "n_repos",
                     )
                 )
             ).alias("_spans")
@@ -218,7 +226,8 @@ def scan_secrets(
         .withColumnRenamed("_row", "_at")
     )
     none = F.array().cast(
-        "array<struct<start:int,rank:int,kind:string,end:int,live:boolean>>"
+        "array<struct<start:int,rank:int,kind:string,end:int,live:boolean,"
+        "n_owners:bigint,n_repos:bigint>>"
     )
     rows = scanned.join(judged, F.col("_row") == F.col("_at"), "left").select(
         "doc_id", F.coalesce("_spans", none).alias("_spans")
@@ -226,7 +235,9 @@ def scan_secrets(
     count = lambda live: F.size(F.filter("_spans", lambda s: s["live"] == live))
     shown = lambda spans: F.transform(
         spans,
-        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["live"].alias("live")),
+        lambda s: F.struct(
+            *(s[k].alias(k) for k in ("kind", "start", "end", "live", "n_owners", "n_repos"))
+        ),
     )
     return rows.select(
         "doc_id",
