@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -77,3 +78,41 @@ def test_an_example_copied_through_one_source_is_no_secret(make_docs):
         else:
             assert [(s.live, s.n_owners, s.n_repos) for s in r.spans] == [(True, 1, secrets.MAX_REPOS)]
     assert len(got) == len(rows)
+
+
+UNBOUNDED = (
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{8,}@"),
+)
+
+
+def test_long_tokens_and_logins_are_found_whole(make_docs):
+    part = "ab9_-Z" * 250
+    token = f"eyJ{part}.eyJ{part}.{part}"
+    texts = [
+        f"{token} " + "lorem ipsum " * 90000,
+        "a" * 300000 + " eyJ" * 20000 + "eyJ" * 100000 + f" {token}",
+        f"jwt_{token}, auth-eyJeyJ12345678.{part}.{part}. eyJshort.{token}",
+        "x://" * 50000 + "a+" * 100000 + f" ftp://{'u' * 100}:{'p' * 300}@host",
+        f"9+http://me:{'q' * 201}@h {'s' * 40}://me:secretword@h HTTPs://u:12345678@",
+    ]
+    draw = random.Random(3)
+    pieces = ["eyJ", "eyJ", "a", "ab_-cdef", "12345678", "12345678", ".", ".", " ", "://", ":", "@", "Z", "9+"]
+    texts += ["".join(draw.choices(pieces, k=120)) for _ in range(1000)]
+    got = secrets.scan_secrets(make_docs(list(enumerate(texts))), max_owners=10, max_repos=10**6)
+    seen = 0
+    for r in got.collect():
+        mine = {(s.kind, s.start, s.end) for s in r.spans}
+        for kind, regex in UNBOUNDED:
+            # The plain regexes are too slow for the longest texts.
+            if len(texts[r.doc_id]) < 100000:
+                theirs = {(kind, *m.span()) for m in re.finditer(regex, texts[r.doc_id])}
+                seen += len(theirs)
+                assert {s for s in mine if s[0] == kind} == theirs
+        if r.doc_id in (0, 1, 2):
+            at = texts[r.doc_id].index(token)
+            assert ("jwt", at, at + len(token)) in mine
+        if r.doc_id == 3:
+            at = texts[3].index("ftp://")
+            assert ("url_login", at, len(texts[3]) - 4) in mine
+    assert seen > 50

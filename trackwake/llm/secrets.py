@@ -21,13 +21,27 @@ MAX_REPOS = 8
 SALTS = 8
 
 
+class Scan(NamedTuple):
+    """A regex for Java; a match begins after its group `lead`, `group` is the secret."""
+
+    regex: str
+    lead: int
+    group: int
+
+
 class Pattern(NamedTuple):
-    """Matches of `regex` whose `group` has at least `least` characters."""
+    """Matches of `regex` whose `group` has at least `least` characters.
+
+    `scan` is what texts are searched with where it differs: it finds the same
+    without bounds on length. The SQL twin, whose regexes know neither look-behind
+    nor possessive repeats, has `regex`.
+    """
 
     kind: str
     regex: str
     group: int
     least: int
+    scan: Scan | None = None
 
 
 _NAMES = "(password|passwd|secret|token|api_?key)"
@@ -43,13 +57,34 @@ BASE = (
     Pattern("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 
-#: Reported where few owners hold the candidate. Repeats that may fail are bounded,
-#: so that a long text is scanned in linear time.
+#: Reported where few owners and repositories hold the candidate. A scan tries a
+#: run of characters only at the run's start and never gives back, so that a long
+#: text is scanned in linear time. In a run only the first `eyJ` can begin a token
+#: that a later one does not: it has the longest part before the dot.
 EXTRA = (
-    Pattern("jwt", r"eyJ[A-Za-z0-9_-]{8,900}\.[A-Za-z0-9_-]{8,900}\.[A-Za-z0-9_-]{8,900}", 0, 28),
+    Pattern(
+        "jwt",
+        r"eyJ[A-Za-z0-9_-]{8,900}\.[A-Za-z0-9_-]{8,900}\.[A-Za-z0-9_-]{8,900}",
+        0,
+        28,
+        Scan(
+            r"(?<![A-Za-z0-9_-])(?>([A-Za-z0-9_-]*?)(?=eyJ))"
+            r"(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
+            1,
+            2,
+        ),
+    ),
     Pattern("bearer", r"[Bb]earer\x20+([A-Za-z0-9._~+/=-]{16,})", 1, 16),
     Pattern("vendor", r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}", 0, 20),
-    Pattern("url_login", r"[a-z][a-z0-9+.-]{0,30}://[^\s/:@]{1,64}:([^\s/:@]{8,200})@", 1, 8),
+    Pattern(
+        "url_login",
+        r"[a-z][a-z0-9+.-]{0,30}://[^\s/:@]{1,64}:([^\s/:@]{8,200})@",
+        1,
+        8,
+        Scan(
+            r"(?<![a-z0-9+.-])([0-9+.-]*+)[a-z][a-z0-9+.-]*+://[^\s/:@]++:([^\s/:@]{8,}+)@", 1, 2
+        ),
+    ),
     Pattern("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}", 0, 32),
 )
 
@@ -60,14 +95,17 @@ def _spans(text: Column, pattern: Pattern, rank: int) -> Column:
     The pieces between matches and the matches take turns, so their lengths
     give every place without a search for it.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
-    secrets = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(pattern.group))
-    between = F.split(text, pattern.regex, -1)
+    regex, lead, group = pattern.scan or Scan(pattern.regex, 0, pattern.group)
+    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    leads = F.regexp_extract_all(text, F.lit(regex), F.lit(lead))
+    secrets = F.regexp_extract_all(text, F.lit(regex), F.lit(group))
+    between = F.split(text, regex, -1)
+    ahead = lambda i: F.length(F.get(leads, i)) if lead else F.lit(0)
     steps = F.transform(
         F.sequence(F.lit(0), F.size(found) - 1),
         lambda i: F.struct(
-            F.length(F.get(between, i)).alias("skip"),
-            F.length(F.get(found, i)).alias("size"),
+            (F.length(F.get(between, i)) + ahead(i)).alias("skip"),
+            (F.length(F.get(found, i)) - ahead(i)).alias("size"),
             F.get(secrets, i).alias("secret"),
         ),
     )
@@ -99,7 +137,7 @@ def _spans(text: Column, pattern: Pattern, rank: int) -> Column:
         ),
         lambda held: held["spans"],
     )
-    return F.when(text.rlike(pattern.regex), placed).otherwise(none)
+    return F.when(text.rlike(regex), placed).otherwise(none)
 
 
 def joined(spans: Column) -> Column:
