@@ -103,3 +103,26 @@ def test_shared_runs_share_a_kept_hash(seed):
     hashes = licenses.word_groups(text)
     kept = set(hashes[licenses.winnowed(hashes)].tolist())
     assert kept & set(licenses.word_groups(run).tolist())
+
+
+def test_every_allowed_edit_is_found(make_docs):
+    draw, rows, expected = random.Random(4), [], {}  # what an unfiltered alignment finds
+    for t in licenses.TEMPLATES:
+        own = licenses.tokens(t.text)
+        n = len(own)
+        allowed = n - next(m for m in range(n + 1) if m >= licenses.MIN_COVERAGE * n)
+        places = [[k] for k in range(n)] if allowed == 1 else []
+        # Evenly spread edits leave the shortest runs.
+        places += [[n * (k + 1) // (allowed + 1) for k in range(allowed)]]
+        places += [sorted(draw.sample(range(n), allowed)) for _ in range(4)]
+        for at in places:
+            for word in ("zzz", None):
+                edited = [word if k in at else w for k, w in enumerate(own)]
+                text = ["lorem ipsum dolor"] * 9 + [w for w in edited if w] + ["sit amet"] * 9
+                words = " ".join(text).split()
+                full = licenses.banded_alignment(own, words, -n, len(words)).matched
+                expected[len(rows)] = full if full >= licenses.MIN_COVERAGE * n else 0
+                rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: r.matched for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    assert sum(map(bool, expected.values())) > 0.7 * len(rows)
+    assert [rows[i] for i, least in expected.items() if got.get(i, 0) < least] == []

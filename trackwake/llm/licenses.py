@@ -1,8 +1,8 @@
-"""License scans: winnowed fingerprints find candidates, alignment measures them.
+"""License scans: word-group fingerprints find candidates, alignment measures them.
 
-Templates are cut into overlapping word groups, winnowed, and put into an
-inverted index. The winnowed groups of a text meet the index in an equi-join;
-hits that lie together give a candidate region and a band of diagonals, and a
+Templates are cut into overlapping word groups, as long as the edits that the
+coverage allows leave one whole, and put into an inverted index. The groups of a
+text, winnowed where that leaves one too, meet the index in an equi-join; hits that lie together give a candidate region and a band of diagonals, and a
 local alignment of words inside the band gives what is matched, and where.
 """
 
@@ -79,6 +79,39 @@ TEMPLATES = (
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met",
     ),
+    Template(
+        "mpl-2.0-header",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+        "copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/.",
+    ),
+    Template(
+        "lgpl-notice",
+        "This library is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    Template(
+        "agpl-notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+    ),
+    Template(
+        "isc-permission",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies.",
+    ),
+    Template(
+        "cc0-line",
+        "To the extent possible under law, the author has waived all copyright and related or "
+        "neighboring rights to this work.",
+    ),
+    Template(
+        "unlicense-line",
+        "This is free and unencumbered software released into the public domain.",
+    ),
 )
 
 
@@ -114,7 +147,65 @@ def winnowed(hashes: np.ndarray, kept_of: int = KEPT_OF) -> np.ndarray:
     return np.unique(at)
 
 
-def inverted_index(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
+def edits(size: int, coverage: float) -> int:
+    """How many of a template's words may be missing at that coverage."""
+    return size - next(m for m in range(size + 1) if m >= coverage * size)
+
+
+def cut(size: int, coverage: float) -> tuple[int, int]:
+    """(group, kept_of) for a template of `size` words.
+
+    With all allowed words missing or replaced, a run of size // (edits + 1)
+    words stays whole. Groups, and winnowing where there is room for it, fit in it.
+    """
+    run = size // (edits(size, coverage) + 1)
+    group = min(GROUP, run)
+    return group, min(KEPT_OF, run - group + 1)
+
+
+class Cut(NamedTuple):
+    """Word groups of the templates that share a cut; `short` has what a short group needs.
+
+    A group of fewer than GROUP words is common in any text. Its hit counts only
+    if the words around lack no more of the template's than its edits allow.
+    """
+
+    group: int
+    kept_of: int
+    known: np.ndarray
+    short: dict[int, list[tuple[int, int, int, frozenset[str]]]]
+
+
+def cuts(templates: Sequence[Template], coverage: float) -> list[Cut]:
+    by_cut: dict[tuple[int, int], list[list[str]]] = {}
+    for t in templates:
+        own = tokens(t.text)
+        by_cut.setdefault(cut(len(own), coverage), []).append(own)
+    found = []
+    for (group, kept_of), of_cut in by_cut.items():
+        short: dict = {}
+        for own in of_cut if group < GROUP else ():
+            need = len(own), edits(len(own), coverage), frozenset(own)
+            for at, h in enumerate(word_groups(own, group).tolist()):
+                short.setdefault(h, []).append((at, *need))
+        known = np.unique(np.concatenate([word_groups(own, group) for own in of_cut]))
+        found.append(Cut(group, kept_of, known, short))
+    return found
+
+
+def _around(found: list[str], at: int, needs, band: int) -> bool:
+    """Whether a short group's hit can be in a match of any of its templates."""
+    for t_at, size, missing, own in needs:
+        begin = at - t_at
+        near = found[max(0, begin - 2 * band) : max(0, begin + size + 2 * band)]
+        if len(own.difference(near)) <= missing:
+            return True
+    return False
+
+
+def inverted_index(
+    spark: SparkSession, templates: Sequence[Template], coverage: float = MIN_COVERAGE
+) -> DataFrame:
     """(mark, template, t_at) with every word group of the templates, short ones included.
 
     Texts are winnowed and templates are not, so that a text's kept group meets
@@ -123,7 +214,8 @@ def inverted_index(spark: SparkSession, templates: Sequence[Template]) -> DataFr
     rows = [
         (int(h.astype(np.int64)), t.name, at)
         for t in templates
-        for at, h in enumerate(word_groups(tokens(t.text)))
+        for own in [tokens(t.text)]
+        for at, h in enumerate(word_groups(own, cut(len(own), coverage)[0]))
     ]
     return spark.createDataFrame(rows, "mark long, template string, t_at int")
 
@@ -167,7 +259,7 @@ def banded_alignment(
     return found
 
 
-def _marks(docs: DataFrame, index: np.ndarray) -> DataFrame:
+def _marks(docs: DataFrame, index: list[Cut], band: int) -> DataFrame:
     """(_id, _key, mark, at) of the kept word groups of whole texts that the index has."""
     schema = pa.schema(
         [("_id", pa.int64()), ("_key", pa.int64()), ("mark", pa.int64()), ("at", pa.int32())]
@@ -177,14 +269,22 @@ def _marks(docs: DataFrame, index: np.ndarray) -> DataFrame:
         for batch in batches:
             ids, keys, marks, places = [], [], [], []
             for id_, key, text in zip(*batch.columns, strict=True):
-                hashes = word_groups(tokens(text.as_py() or ""))
-                at = winnowed(hashes)
-                at = at[np.isin(hashes[at], index)]
-                if len(at):
-                    ids += [id_.as_py()] * len(at)
-                    keys += [key.as_py()] * len(at)
-                    marks.append(hashes[at].astype(np.int64))
-                    places.append(at)
+                found = tokens(text.as_py() or "")
+                for part in index:
+                    hashes = word_groups(found, part.group)
+                    at = winnowed(hashes, part.kept_of)
+                    at = at[np.isin(hashes[at], part.known)]
+                    if part.short:
+                        near = [
+                            _around(found, k, part.short[h], band)
+                            for k, h in zip(at.tolist(), hashes[at].tolist())
+                        ]
+                        at = at[np.array(near, bool)]
+                    if len(at):
+                        ids += [id_.as_py()] * len(at)
+                        keys += [key.as_py()] * len(at)
+                        marks.append(hashes[at].astype(np.int64))
+                        places.append(at)
             if marks:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -292,7 +392,8 @@ def scan_licenses(
     `coverage` of a match is the share of the template's words that align with
     the text in order; spans are in words and in characters, ends exclusive.
     Texts are compared by their lower-cased runs of letters and digits. Every
-    place of a text that holds a template is reported; of templates that fit one
+    place of a text that holds a template but for as many missing or replaced
+    words as `coverage` allows is reported; of templates that fit one
     place, that with most words matched, then the larger coverage. A null or empty text has no match, repeated rows have as
     many results. Templates of fewer than four words are an error; a list of any
     length is worked off in slices whose index is small enough to send along.
@@ -307,10 +408,10 @@ def scan_licenses(
     )
     hits = []
     for part in _slices(templates, slice_words):
-        known = np.unique(np.concatenate([word_groups(tokens(t.text)) for t in part]))
         # Rows alike in id and text have the same hits; they count once here.
-        found = _marks(keyed, known).distinct()
-        hits.append(spread_join(found, inverted_index(spark, part), "mark", F.col("_key")))
+        found = _marks(keyed, cuts(part, coverage), band).distinct()
+        index = inverted_index(spark, part, coverage)
+        hits.append(spread_join(found, index, "mark", F.col("_key")))
     table = spark.createDataFrame(
         [(t.name, len(w), w) for t in templates for w in [tokens(t.text)]],
         "template string, size int, words array<string>",
