@@ -1,0 +1,125 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from trackwake.llm import queries, runs
+from trackwake.llm.common import read_table
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def brute_runs(words, min_words=6, min_repeats=4):
+    """Every stretch that a period cannot leave, kept under its smallest period."""
+    found, n = {}, len(words)
+    for q in range(1, n // min_repeats + 1):
+        i = 0
+        while i < n - q:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j < n - q and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if length >= max(min_words, min_repeats * q):
+                found.setdefault((i, length), q)
+            i = j
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def codes(words):
+    names = {w: n for n, w in enumerate(dict.fromkeys(words))}
+    return np.array([names[w] for w in words], np.int64)
+
+
+@pytest.mark.parametrize("letters,seed", [(1, 0), (2, 1), (2, 2), (3, 3), (6, 4)])
+def test_runs_match_brute_force(letters, seed):
+    draw = random.Random(seed)
+    for _ in range(150):
+        words = [draw.randrange(letters) for _ in range(draw.randrange(0, 40))]
+        for _ in range(draw.randrange(3)):
+            unit = [draw.randrange(letters) for _ in range(draw.randrange(1, 6))]
+            words += unit * draw.randrange(1, 9) + unit[: draw.randrange(len(unit))]
+        assert runs.word_runs(codes(words)) == brute_runs(words)
+
+
+def test_other_limits_match_brute_force():
+    draw = random.Random(9)
+    for _ in range(200):
+        words = [draw.randrange(2) for _ in range(draw.randrange(50))]
+        assert runs.word_runs(codes(words), 2, 2) == brute_runs(words, 2, 2)
+        assert runs.word_runs(codes(words), 9, 3) == brute_runs(words, 9, 3)
+
+
+def test_long_texts():
+    one = np.zeros(200_000, np.int64)
+    assert runs.word_runs(one) == [(0, 200_000, 1)]
+    unit = np.arange(1000)
+    assert runs.word_runs(np.tile(unit, 100)) == [(0, 100_000, 1000)]
+    assert runs.word_runs(np.random.default_rng(1).permutation(300_000)) == []
+
+
+@pytest.mark.parametrize("text", [None, "", " \n\t", "a", "a a a a a", "a b a b a b a"])
+def test_texts_without_runs(make_docs, text):
+    (row,) = runs.find_runs(make_docs([(1, text)])).collect()
+    assert row.runs == [] and row.collapsed == " ".join((text or "").split())
+
+
+def test_rows_are_kept_as_they_come(make_docs):
+    rows = [(None, "x " * 7), (1, "é é é é é é É"), (1, "é é é é é é É"), (2, None)]
+    got = runs.find_runs(make_docs(rows, extra="runs collapsed n_words start"))
+    assert got.columns == ["doc_id", "n_words", "runs", "collapsed"]
+    assert sorted(map(repr, ((r.doc_id, len(r.runs), r.collapsed) for r in got.collect()))) == sorted(
+        map(repr, [(None, 1, "x"), (1, 1, "é É"), (1, 1, "é É"), (2, 0, "")])
+    )
+    assert runs.find_runs(make_docs(rows).limit(0)).collect() == []
+    # Only the six blanks part words.
+    (row,) = runs.find_runs(make_docs([(1, "a a a\x1ca\x85a a")])).collect()
+    assert row.n_words == 2
+
+
+def expected(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(words)
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    # Long texts without a six-word window met twice have no run.
+    windows = [tuple(words[i : i + 5]) for i in range(n - 4)]
+    found = brute_runs(words) if len(set(windows)) < len(windows) else []
+    dropped = {i for s, length, q in found for i in range(s + q, s + length)}
+    kept = " ".join(w for i, w in enumerate(words) if i not in dropped)
+    text = "".join(f"{s},{length},{q}\n" for s, length, q in found)
+    best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    top = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    return (doc_id, len(found), *top, digest(text), digest(kept))
+
+
+def test_query_matches_brute_force(spark):
+    docs = read_table(spark, SMALL, "documents").collect()
+    got = queries.op12_periodic_runs(spark, SMALL)
+    assert got.columns == [
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        "runs_sha256", "collapsed_sha256",
+    ]
+    short = {d.doc_id for d in docs if len(d.text or "") < 20_000}
+    want = sorted(expected(d.doc_id, d.text) for d in docs if d.doc_id in short)
+    assert sorted(tuple(r) for r in got.collect() if r.doc_id in short) == want
+    assert sum(row[1] for row in want) > 5
+
+
+def test_query_without_rows_or_ids(spark, make_docs, tmp_path):
+    odd = [(None, "a b " * 9), (3, None), (30, ""), (7, "x"), *[(k, "w v u " * 20) for k in range(60)]]
+    make_docs(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op12_periodic_runs(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(expected(*row)) for row in odd)

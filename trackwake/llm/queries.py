@@ -17,12 +17,13 @@ from trackwake.llm import (
     mixing,
     packing,
     quality,
+    runs,
     secrets,
     simhash,
     topk,
     urls,
 )
-from trackwake.llm.common import read_table
+from trackwake.llm.common import read_table, words
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,6 +116,56 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth text by crc32 of its id ends in repetitions.
+
+    There each word from number a on becomes the word a + (i - a) % p. Ids that are
+    null leave their text alone.
+    """
+    found = words(F.col("text"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n = F.size("_words")
+    marked = docs.select("doc_id", "text", h.alias("_h")).select(
+        "doc_id",
+        "text",
+        F.when(F.col("_h") % 10 == 0, found).alias("_words"),
+        F.floor(F.col("_h") / 10).alias("_g"),
+    )
+    start = (F.col("_g") % n).cast("int")
+    period = (1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int")
+    placed = marked.withColumn("_a", F.when(n > 0, start)).withColumn("_p", period)
+    a, p = F.col("_a"), F.col("_p")
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    tail = F.transform("_words", lambda w, i: F.get("_words", place(i)))
+    return placed.select(
+        "doc_id", F.when(a.isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text")
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = repeated_tails(read_table(spark, folder, "documents"))
+    found = runs.find_runs(docs)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    # The greatest length first, then the smallest start and period.
+    order = F.transform(
+        "runs",
+        lambda r: F.struct(
+            (-r["length"]).alias("a"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")
+        ),
+    )
+    best = found.withColumn("_best", F.array_min(order))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "_best.start",
+        "_best.length",
+        "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
@@ -129,5 +180,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_line_dedup,
             op9_ball_tree_topk,
             op10_secret_scan,
+            op12_periodic_runs,
         )
     }
