@@ -27,7 +27,7 @@ def database():
 
 def test_all_are_registered():
     assert set(queries.queries()) | {"pipeline"} <= set(registered.queries())
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
     assert set(oracles.oracle_sql()) <= set(registered.oracle_sql())
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackwake.llm import quality, secrets
+from trackwake.llm import oddsketch, phrases, quality, secrets
 
 _WS = r"\x20\x09-\x0D"
 
@@ -182,6 +182,73 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN grouped g ON d.doc_id = g.doc_id"""
 
 
+OP11 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^{_WS}]+') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 3),
+                                      lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh
+  FROM w),
+d AS (SELECT doc_id, len(sh) AS n, CASE WHEN len(sh) > 0 THEN sha256(array_to_string(list_sort(sh), chr(10))) END AS set, sh FROM s),
+nodes AS (SELECT set, min(doc_id) AS least, any_value(n) AS n, any_value(sh) AS sh FROM d WHERE set IS NOT NULL GROUP BY 1),
+parts AS (SELECT least, n, unnest(sh) AS shingle FROM nodes),
+links AS (
+  SELECT a.least AS a, b.least AS b FROM parts a JOIN parts b ON a.shingle = b.shingle AND a.least < b.least
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= {oddsketch.SIMILARITY} * (a.n + b.n - count(*))),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT least AS node, least AS other FROM nodes
+  UNION SELECT r.node, l.b FROM reached r JOIN sides l ON r.other = l.a),
+roots AS (SELECT node, min(other) AS root FROM reached GROUP BY 1)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id,
+       d.doc_id = coalesce(r.root, d.doc_id) AS kept
+FROM d LEFT JOIN nodes x ON d.set = x.set LEFT JOIN roots r ON x.least = r.node"""
+
+OP13 = f"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM cut),
+sizes AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY 1),
+placed AS (
+  SELECT lang, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS i
+  FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m)),
+f AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, any_value(m) AS m, count(*) AS a
+  FROM placed GROUP BY 1, 2),
+often AS (
+  SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= {phrases.MIN_COUNT}),
+parts AS (
+  SELECT DISTINCT lang, phrase, a, array_to_string(ws[i:i + k - 1], ' ') AS part
+  FROM (SELECT *, unnest(generate_series(1, m - k + 1)) AS i
+        FROM (SELECT *, unnest(generate_series(2, m - 1)) AS k FROM often))),
+held AS (SELECT lang, part, max(a) AS most FROM parts GROUP BY 1, 2),
+kept AS (
+  SELECT o.* FROM often o LEFT JOIN held h ON o.lang = h.lang AND o.phrase = h.part
+  WHERE h.most IS NULL OR 100::HUGEINT * h.most < {phrases.COVERED}::HUGEINT * o.a),
+cuts AS (
+  SELECT k.lang, k.phrase, k.a, cutoff, l.a AS l, r.a AS r,
+         CAST({phrases.SCALE}::HUGEINT * k.a // (l.a::HUGEINT + r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS cutoff FROM kept) k
+  JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[1:cutoff], ' ')
+  JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[cutoff + 1:], ' ')),
+lowest AS (
+  SELECT * FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cutoff) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT x.lang, rank, phrase, a, l, r, n, score
+FROM ranked x JOIN sizes s ON x.lang = s.lang WHERE rank <= {phrases.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": OP1.format(rules=_rules_sql()),
@@ -190,4 +257,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": OP8,
         "op9_ball_tree_topk": OP9,
         "op10_secret_scan": _op10(),
+        "op11_minhash_groups": OP11,
+        "op13_phrase_collocations": OP13,
     }

@@ -15,7 +15,9 @@ from trackwake.llm import (
     licenses,
     lines,
     mixing,
+    oddsketch,
     packing,
+    phrases,
     quality,
     runs,
     secrets,
@@ -116,6 +118,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_minhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return oddsketch.near_duplicates(read_table(spark, folder, "documents"), width=4)
+
+
 def repeated_tails(docs: DataFrame) -> DataFrame:
     """doc_id and text, where every tenth text by crc32 of its id ends in repetitions.
 
@@ -166,6 +172,10 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine_phrases(read_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
@@ -180,6 +190,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_line_dedup,
             op9_ball_tree_topk,
             op10_secret_scan,
+            op11_minhash_groups,
             op12_periodic_runs,
+            op13_phrase_collocations,
         )
     }
