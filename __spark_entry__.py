@@ -63,7 +63,12 @@ from trackwake.plans.event_flights import (
     flights_of,
     with_geometry,
 )
-from trackwake.plans.programs import feature_count_messages, track_snapshot
+from trackwake.plans.programs import (
+    feature_count_messages,
+    kept_snapshot,
+    track_latest as newest_entries,
+    track_snapshot,
+)
 from trackwake.sources.replay import replay_table, text_stream
 from trackwake.streaming.folders import new_folder
 from trackwake.streaming.sinks import (
@@ -72,7 +77,7 @@ from trackwake.streaming.sinks import (
     table_sink,
     view_sink,
 )
-from trackwake.streaming.table import state_table, state_table_sink
+from trackwake.streaming.stored import state_sink, stored_counts, stored_positions
 from trackwake.streaming.tracks import (
     stored_tracks,
     stream_track_records,
@@ -477,29 +482,29 @@ def state_message_rows(spark: SparkSession, folder: str) -> DataFrame:
 # -- stream queries: run over all that is there, then read the outcome ------------
 
 
-def _kept(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """The outcome of a stream that keeps current rows per flight."""
-    work = new_folder(spark, name)
-    sink = state_table_sink(
-        rows, name, f"{work}/state", f"{work}/rows", "flight_id", once=True
-    )
-    run_available(spark, sink)
-    return state_table(spark, f"{work}/rows", rows.schema)
+def _run_state(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """Run a query that keeps state only; its checkpoint."""
+    checkpoint = new_folder(spark, name)
+    run_available(spark, state_sink(rows, name, checkpoint, once=True))
+    return checkpoint
 
 
 def running_count_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return _kept(spark, running_count(_stream(spark, folder)), "running_count")
+    counts = running_count(_stream(spark, folder))
+    return stored_counts(spark, _run_state(spark, counts, "running_count"))
 
 
 def last_known_position_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return _kept(spark, last_known_position(_stream(spark, folder)), "last_position")
+    last = last_known_position(_stream(spark, folder))
+    return stored_positions(spark, _run_state(spark, last, "last_position"), last.schema)
 
 
 def text_stream_count(spark: SparkSession, folder: str) -> DataFrame:
     """Flight lines in text files, read as a stream and counted."""
     source = new_folder(spark, "lines")
     flight_lines(flights(spark, folder)).write.text(source)
-    return _kept(spark, running_count(parse_flights(text_stream(spark, source))), "text_count")
+    counts = running_count(parse_flights(text_stream(spark, source)))
+    return stored_counts(spark, _run_state(spark, counts, "text_count"))
 
 
 def snapshot_branches(spark: SparkSession, folder: str) -> DataFrame:
@@ -529,14 +534,11 @@ def snapshot_branches(spark: SparkSession, folder: str) -> DataFrame:
 
 def restarted_count_stream(spark: SparkSession, folder: str) -> DataFrame:
     """A count stopped and started again over its checkpoint: nothing counts twice."""
-    work = new_folder(spark, "restart")
+    checkpoint = new_folder(spark, "restart")
     for _ in range(2):
         counts = running_count(_stream(spark, folder))
-        sink = state_table_sink(
-            counts, "restarted", f"{work}/state", f"{work}/rows", "flight_id", once=True
-        )
-        run_available(spark, sink)
-    return state_table(spark, f"{work}/rows", counts.schema)
+        run_available(spark, state_sink(counts, "restarted", checkpoint, once=True))
+    return stored_counts(spark, checkpoint)
 
 
 def track_state_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -585,24 +587,12 @@ def track_records_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snapshot_stream(spark: SparkSession, folder: str) -> DataFrame:
-    work = new_folder(spark, "snapshot")
-    snapshot = track_snapshot(
-        _features(_stream(spark, folder)), FLIGHT_SCHEMA, "arrival_seq"
-    )
-    query = run_available(
-        spark,
-        view_sink(
-            snapshot,
-            "snapshot",
-            f"{work}/state",
-            "featureTracks",
-            "select * from featureTracks",
-            f"{work}/rows",
-            once=True,
-        ),
-    )
-    last = query.lastProgress["batchId"]
-    return spark.read.parquet(f"{work}/rows/batch_id={last}")
+    """The snapshot of all tracks, from the state of a stream of features."""
+    features = _features(_stream(spark, folder))
+    latest = newest_entries(features, FLIGHT_SCHEMA, "arrival_seq")
+    checkpoint = _run_state(spark, latest, "snapshot")
+    kept_snapshot(spark, checkpoint, FLIGHT_SCHEMA, view="featureTracks")
+    return spark.sql("select * from featureTracks")
 
 
 def replay_table_stream(spark: SparkSession, folder: str) -> DataFrame:

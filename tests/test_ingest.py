@@ -107,3 +107,23 @@ def test_flight_time(spark):
 def test_trace_lines(spark):
     lines = spark.createDataFrame(samples.lines(), "value string")
     assert {row.trace for row in flight_traces(lines).collect()} == samples.TRACES
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_line_is_split_once(spark, tmp_path):
+    _lines(spark, [GOOD]).withColumn("seq", F.lit(1)).write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    for parsed in (
+        parse_flights(lines, keep=("seq",)),
+        parse_flights(lines, "reject"),
+        flight_rejects(lines),
+        parse_flights(lines).groupBy("flight_id").count(),
+    ):
+        assert _executed(parsed).count("split(") == 1
+    # What is not asked for is not read, and a filter on what is kept reaches the scan.
+    plan = _executed(parse_flights(lines, "reject", keep=("seq",)).where("seq = 1").select("altitude"))
+    assert "PushedFilters: [IsNotNull(seq), EqualTo(seq,1)]" in plan
+    assert "seq" not in _executed(parse_flights(lines, "reject")).split("ReadSchema")[1]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from functools import partial
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +12,6 @@ from trackwake.plans.event_flights import flights
 from trackwake.sources.replay import replay_table, text_stream
 from trackwake.streaming.sinks import run_available, table_sink
 from trackwake.streaming.state import start
-from trackwake.streaming.table import _merge, state_table, state_table_sink
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -71,12 +67,12 @@ def test_feature_counter_and_publisher(spark, features, tmp_path):
 def test_position_keeper_restarts(spark, tmp_path):
     source = flights(spark, FOLDER)
     half = source.agg(F.expr("percentile(arrival_seq, 0.5)")).first()[0]
-    folder, table, state = (str(tmp_path / n) for n in ("in", "table", "state"))
+    folder, state = (str(tmp_path / n) for n in ("in", "state"))
     kept = flight_lines(source, keep=("arrival_seq",))
     for k, part in enumerate((kept.where(F.col("arrival_seq") < half), kept.where(F.col("arrival_seq") >= half))):
         part.coalesce(1).write.mode("append").parquet(folder)
         stream = replay_table(spark, folder)
-        finish(programs.start_position_keeper(stream, table, state, "arrival_seq"))
+        finish(programs.start_position_keeper(stream, state, "arrival_seq"))
         seen = source if k else source.where(F.col("arrival_seq") < half)
         expected = {
             r[0]: (r[1], r[2])
@@ -84,8 +80,7 @@ def test_position_keeper_restarts(spark, tmp_path):
             .agg(F.max_by("longitude", "arrival_seq"), F.max_by("latitude", "arrival_seq"))
             .collect()
         }
-        schema = programs.flight_positions(stream, "arrival_seq").schema
-        got = state_table(spark, table, schema).collect()
+        got = programs.kept_positions(spark, state).collect()
         assert {r.flight_id: (r.longitude, r.latitude) for r in got} == expected
         assert len(got) == len(expected)
 
@@ -98,47 +93,6 @@ def test_traces(lines, tmp_path):
     assert shown == 200
 
 
-def test_state_table_over_triggers(spark, tmp_path):
-    """Untouched keys stay, expired keys go, a repeated trigger changes nothing."""
-    table = str(tmp_path / "table")
-    schema = "k string, v long, gone boolean"
-    batches = [
-        [("a", 1, False), ("b", 1, False), ("c", 1, False), (None, 1, False)],
-        [("a", 2, False), ("a", 3, False)],
-        [("b", 0, True)],
-        [("d", 4, False), ("a", 0, True)],
-        [("c", 0, True), ("d", 0, True), (None, 0, True)],
-    ]
-    outcomes = [
-        {("a", 1), ("b", 1), ("c", 1), (None, 1)},
-        {("a", 2), ("a", 3), ("b", 1), ("c", 1), (None, 1)},
-        {("a", 2), ("a", 3), ("c", 1), (None, 1)},
-        {("d", 4), ("c", 1), (None, 1)},
-        set(),
-    ]
-    assert state_table(spark, table, "k string, v long").collect() == []
-    for trigger, (rows, outcome) in enumerate(zip(batches, outcomes)):
-        changes = spark.createDataFrame(rows, schema)
-        for _ in range(2):
-            _merge(changes, trigger, table, "k", 8, "gone")
-            got = {tuple(r) for r in state_table(spark, table, "k string, v long").collect()}
-            assert got == outcome
-    kept = [n for n in os.listdir(f"{table}/versions") if n.startswith("trigger")]
-    assert len(kept) <= 2
-
-
-def test_state_table_sink_follows_a_stream(spark, tmp_path):
-    folder, table = str(tmp_path / "in"), str(tmp_path / "table")
-    for n in range(3):
-        spark.createDataFrame([("x", n), (f"y{n}", n)], "k string, v long").coalesce(1).write.mode("append").parquet(folder)
-    stream = replay_table(spark, folder)
-    sink = partial(state_table_sink, name="s", checkpoint=str(tmp_path / "c"), path=table, key="k", once=True)
-    counts = stream.groupBy("k").count()
-    run_available(spark, sink(counts))
-    got = {tuple(r) for r in state_table(spark, table, counts.schema).collect()}
-    assert got == {("x", 3), ("y0", 1), ("y1", 1), ("y2", 1)}
-
-
 def test_start_uses_rocksdb_for_this_query_only(spark, lines, tmp_path):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)

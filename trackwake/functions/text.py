@@ -10,17 +10,16 @@ _BLANKS = r"[\x00-\x20]+"
 _OUTER_BLANKS = rf"^{_BLANKS}|{_BLANKS}\z|(?<=,){_BLANKS}|{_BLANKS}(?=,)"
 
 
-def split_fields(line: Column, count: int) -> list[Column]:
-    """The first ``count`` comma-separated fields without blanks around them.
+def split_fields(line: Column) -> Column:
+    """The comma-separated fields of a line, with no blanks but spaces around them.
 
-    Missing fields are null. Lines without control characters, as nearly all
-    are, need no more than a plain trim of spaces.
+    Lines without control characters, as nearly all are, need no more than the
+    split; what is left for the reader of a field is a plain trim.
     """
     clean = F.when(
         line.rlike(_CONTROL), F.regexp_replace(line, _OUTER_BLANKS, "")
     ).otherwise(line)
-    fields = F.split(clean, ",", -1)
-    return [F.trim(F.get(fields, F.lit(position))) for position in range(count)]
+    return F.split(clean, ",", -1)
 
 
 def _triple(point: Column) -> Column:

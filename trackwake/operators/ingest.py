@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trackwake.functions.binding import bind
 from trackwake.functions.text import split_fields
 
 # The eight positional fields of a flight line.
@@ -34,6 +34,8 @@ def binary_payload(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 _KINDS = ", ".join(f"{name}: {kind}" for name, kind in FLIGHT_LAYOUT)
+_FIELDS = "__fields"
+_RECORD = "__record"
 
 
 def _number(text: Column, kind: str) -> Column:
@@ -46,24 +48,28 @@ def _number(text: Column, kind: str) -> Column:
     return F.when(~special | spelled, number)
 
 
-def _typed(texts: list[Column]) -> list[Column]:
+def _typed() -> list[Column]:
+    """The fields as typed columns, from the array of texts that a line was split into."""
+    texts = [F.trim(F.get(_FIELDS, F.lit(at))) for at in range(len(FLIGHT_LAYOUT))]
     return [
         (text if kind == "string" else _number(text, kind)).alias(name)
         for text, (name, kind) in zip(texts, FLIGHT_LAYOUT)
     ]
 
 
-def _problem(typed: list[Column], last: Column) -> Column:
+def _problem() -> Column:
     """What is wrong with a line, null for a good one."""
+    last = F.trim(F.get(_FIELDS, F.lit(len(FLIGHT_LAYOUT) - 1)))
     checks = F.when(F.coalesce(last, F.lit("")) == "", F.lit("missing field"))
-    for column, (name, kind) in zip(typed, FLIGHT_LAYOUT):
+    for column, (name, kind) in zip(_typed(), FLIGHT_LAYOUT):
         if kind != "string":
             checks = checks.when(column.isNull(), F.lit(f"bad {name}"))
     return checks
 
 
-def _record(typed: list[Column]) -> Column:
+def _record() -> Column:
     """The typed fields of a good line as one struct, null for a bad line."""
+    typed = _typed()
     numbers = [
         column.cast("double")
         for column, (_, kind) in zip(typed, FLIGHT_LAYOUT)
@@ -74,6 +80,17 @@ def _record(typed: list[Column]) -> Column:
     return F.when(reduce(add, numbers).isNotNull(), F.struct(*typed))
 
 
+def _parsed(lines: DataFrame, value: str, carried: Sequence[str]) -> DataFrame:
+    """``carried`` columns, the line's fields and its record, each worked out once.
+
+    A line is split in one projection, and typed in the next. What follows only
+    refers to the two columns, so neither a generator nor a condition repeats the
+    work.
+    """
+    split = lines.select(*carried, split_fields(F.col(value)).alias(_FIELDS))
+    return split.select(*carried, _FIELDS, _record().alias(_RECORD))
+
+
 def parse_flights(
     lines: DataFrame,
     mode: str = "fail",
@@ -88,22 +105,16 @@ def parse_flights(
     those. ``keep`` names further input columns to carry along, such as arrival;
     filters on them reach the source.
     """
-    texts = split_fields(F.col(value), len(FLIGHT_LAYOUT))
-    typed = _typed(texts)
-    record = _record(typed)
-    # A generator works a line out once and is never pruned away.
-    if mode == "fail":
-        told = F.concat_ws(
-            ": ",
-            F.lit("malformed flight line"),
-            _problem(typed, texts[-1]),
-            F.col(value),
-        )
-        stop = F.raise_error(told).cast(f"struct<{_KINDS}>")
-        return lines.select(*keep, F.inline(F.array(F.coalesce(record, stop))))
     if mode == "reject":
-        return lines.select(*keep, F.inline(F.array_compact(F.array(record))))
-    raise ValueError(f"unknown mode {mode!r}")
+        parsed = _parsed(lines, value, keep)
+        return parsed.select(*keep, F.inline(F.array_compact(F.array(_RECORD))))
+    if mode != "fail":
+        raise ValueError(f"unknown mode {mode!r}")
+    parsed = _parsed(lines, value, [value, *[name for name in keep if name != value]])
+    told = F.concat_ws(": ", F.lit("malformed flight line"), _problem(), F.col(value))
+    stop = F.raise_error(told).cast(f"struct<{_KINDS}>")
+    # A generator is never pruned away.
+    return parsed.select(*keep, F.inline(F.array(F.coalesce(_RECORD, stop))))
 
 
 def judge_flights(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -112,16 +123,13 @@ def judge_flights(lines: DataFrame, value: str = "value") -> DataFrame:
     Write or stream this out once to get both accepted and rejected lines from
     a single pass over the input.
     """
-    texts = split_fields(F.col(value), len(FLIGHT_LAYOUT))
-    typed = _typed(texts)
-    judged = bind(
-        _record(typed),
-        lambda record: F.struct(
-            record.alias("record"),
-            F.when(record.isNull(), _problem(typed, texts[-1])).alias("reason"),
-        ),
+    parsed = _parsed(lines, value, lines.columns)
+    reason = F.when(F.col(_RECORD).isNull(), _problem())
+    judged = F.struct(F.col(_RECORD).alias("record"), reason.alias("reason"))
+    # Filters on what a generator returns stay above it, and so above the parse.
+    return parsed.select(*lines.columns, judged.alias("__judged")).select(
+        *lines.columns, F.inline(F.array("__judged"))
     )
-    return lines.select("*", F.inline(F.array(judged)))
 
 
 def flight_rejects(lines: DataFrame, value: str = "value") -> DataFrame:

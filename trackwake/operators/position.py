@@ -18,19 +18,21 @@ from trackwake.operators.ordering import (
 )
 
 
-def _leaves(name: str, kind: T.DataType, path: Column) -> list[tuple[str, Column]]:
+def leaves(name: str, kind: T.DataType, path: Column) -> list[tuple[str, Column]]:
+    """A column's parts without structs, by name; a struct's own part tells if it is there."""
     if not isinstance(kind, T.StructType):
         return [(name, path)]
     found = [(f"{name}.", path.isNotNull())]
     for field in kind:
-        found += _leaves(f"{name}.{field.name}", field.dataType, path[field.name])
+        found += leaves(f"{name}.{field.name}", field.dataType, path[field.name])
     return found
 
 
-def _rebuilt(name: str, kind: T.DataType) -> Column:
+def rebuilt(name: str, kind: T.DataType) -> Column:
+    """The column put together from its ``leaves``."""
     if not isinstance(kind, T.StructType):
         return F.col(f"`{name}`")
-    fields = [_rebuilt(f"{name}.{f.name}", f.dataType).alias(f.name) for f in kind]
+    fields = [rebuilt(f"{name}.{f.name}", f.dataType).alias(f.name) for f in kind]
     return F.when(F.col(f"`{name}.`"), F.struct(*fields))
 
 
@@ -40,11 +42,11 @@ def _picked(df: DataFrame, key: str, rank: Column, columns: Sequence[str], *more
     With a fixed-width rank and fixed-width leaves the buffers stay hash-aggregated.
     """
     kinds = {name: df.schema[name].dataType for name in columns}
-    leaves = [leaf for name, kind in kinds.items() for leaf in _leaves(name, kind, F.col(name))]
-    picked = [F.max_by(value, rank).alias(name) for name, value in leaves]
+    parts = [leaf for name, kind in kinds.items() for leaf in leaves(name, kind, F.col(name))]
+    picked = [F.max_by(value, rank).alias(name) for name, value in parts]
     found = df.groupBy(key).agg(*more, *picked)
-    names = [c for c in found.columns if c not in {name for name, _ in leaves}]
-    return found.select(*names, *[_rebuilt(n, k).alias(n) for n, k in kinds.items()])
+    names = [c for c in found.columns if c not in {name for name, _ in parts}]
+    return found.select(*names, *[rebuilt(n, k).alias(n) for n, k in kinds.items()])
 
 
 def last_known_position(

@@ -49,7 +49,11 @@ from trackwake.streaming.sinks import (
     view_sink,
 )
 from trackwake.streaming.state import start
-from trackwake.streaming.table import state_table_sink
+from trackwake.streaming.stored import (
+    state_sink,
+    stored_latest,
+    stored_positions,
+)
 from trackwake.streaming.tracks import stream_track_state
 
 TRACK_LENGTH = 2
@@ -89,14 +93,19 @@ def flight_traces(lines: DataFrame) -> DataFrame:
 
 
 def start_position_keeper(
-    lines: DataFrame, path: str, checkpoint: str, arrival: Arrival = ARRIVAL
+    lines: DataFrame, checkpoint: str, arrival: Arrival = ARRIVAL
 ) -> StreamingQuery:
-    """Keep the last known positions in the table at ``path``; can be restarted."""
-    positions = flight_positions(lines, arrival)
-    sink = state_table_sink(positions, "position_keeper", checkpoint, path, "flight_id")
+    """Keep the last known positions of all flights as state; can be restarted."""
+    sink = state_sink(flight_positions(lines, arrival), "position_keeper", checkpoint)
     return start(lines.sparkSession, sink)
 
 
+def kept_positions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The positions a position keeper holds as of its last trigger, running or not."""
+    schema = T.StructType.fromDDL("flight_id string, longitude double, latitude double")
+    return stored_positions(spark, checkpoint, schema)
+
+
 def start_position_traces(lines: DataFrame, checkpoint: str) -> StreamingQuery:
     """Show one trace text per report on the console, the first ones of a trigger."""
     traces = flight_traces(lines)
@@ -179,23 +188,68 @@ def start_replay_tracker(
     )
 
 
-def track_snapshot(
+def track_latest(
     features: DataFrame,
     schema: str,
     arrival: Arrival = ARRIVAL,
     project: bool = False,
 ) -> DataFrame:
-    """Features to ``(trackId, latestTime, latestPosition)`` of every track.
-
-    In complete mode a stream gives all tracks each trigger, touched or not.
-    """
+    """Features to ``trackId``, ``time`` and the geometry of every track's newest entry."""
     order = tuple(arrival_columns(arrival))
     typed = with_track_id(apply_feature_schema(features, schema, order))
     shape = geometry_column(typed.schema)
     if project:
         typed = project_points(typed, shape)
-    latest = latest_report(typed, "trackId", "time", order, [shape])
-    return snapshot_rows(latest, "trackId", geometry=shape)
+    return latest_report(typed, "trackId", "time", order, [shape])
+
+
+def track_snapshot(
+    features: DataFrame,
+    schema: str,
+    arrival: Arrival = ARRIVAL,
+    project: bool = False,
+) -> DataFrame:
+    """Features to ``(trackId, latestTime, latestPosition)`` of every track.
+
+    In complete mode a stream gives all tracks each trigger, touched or not.
+    """
+    latest = track_latest(features, schema, arrival, project)
+    return snapshot_rows(latest, "trackId", geometry=latest.columns[-1])
+
+
+def start_track_keeper(
+    features: DataFrame,
+    schema: str,
+    checkpoint: str,
+    arrival: Arrival = ARRIVAL,
+    project: bool = False,
+) -> StreamingQuery:
+    """Keep every track's newest entry as state, for ``kept_snapshot``."""
+    latest = track_latest(features, schema, arrival, project)
+    return start(features.sparkSession, state_sink(latest, "track_keeper", checkpoint))
+
+
+def kept_snapshot(
+    spark: SparkSession, checkpoint: str, schema: str, view: str | None = None
+) -> DataFrame:
+    """The snapshot of all tracks of a track keeper, touched or not, as of its last trigger.
+
+    A trigger writes no snapshot; this reads the state where one is wanted. With
+    ``view`` the rows are registered for SQL under that name.
+    """
+    kinds = read_feature_schema(schema)
+    shape = geometry_column(kinds)
+    latest = T.StructType(
+        [
+            T.StructField("trackId", T.StringType()),
+            T.StructField("time", T.TimestampType()),
+            T.StructField(shape, kinds[shape].dataType),
+        ]
+    )
+    rows = snapshot_rows(stored_latest(spark, checkpoint, latest), "trackId", geometry=shape)
+    if view is not None:
+        rows.createOrReplaceTempView(view)
+    return rows
 
 
 def start_snapshots(

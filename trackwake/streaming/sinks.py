@@ -121,11 +121,14 @@ def view_sink(
     mode: str = "complete",
     interval: str | None = TRIGGER,
     once: bool = False,
+    keep: int | None = None,
 ) -> DataStreamWriter:
     """Each trigger, register the snapshot as ``view`` and run SQL over it.
 
     The result is written to ``path/batch_id=<n>``, or its first rows are shown
-    where no path is given.
+    where no path is given. A whole snapshot a trigger adds up: with ``keep`` only
+    the last so many stay, in folders that are used in turn; ``last_snapshot``
+    reads the newest of them.
     """
 
     def run(rows: DataFrame, batch_id: int) -> None:
@@ -134,12 +137,22 @@ def view_sink(
         if path is None:
             print(f"-- {view}, trigger {batch_id}")
             result.show()
-        else:
+        elif keep is None:
             result.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        else:
+            numbered = result.withColumn("batch_id", F.lit(batch_id))
+            numbered.write.mode("overwrite").parquet(f"{path}/turn={batch_id % keep}")
 
     return stream_writer(snapshot, name, checkpoint, mode, interval, once).foreachBatch(run)
 
 
+def last_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest result of a ``view_sink`` that keeps a few."""
+    rows = spark.read.parquet(path).drop("turn")
+    newest = rows.agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(F.broadcast(newest), "batch_id").drop("batch_id")
+
+
 def run_available(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
     """Start a query built with ``once=True`` and wait for its end."""
     query = start(spark, writer)
