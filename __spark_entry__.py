@@ -78,9 +78,11 @@ from trackwake.streaming.sinks import (
     view_sink,
 )
 from trackwake.streaming.stored import state_sink, stored_counts, stored_positions
+from trackwake.streaming.live import probe_sink, record_sink
 from trackwake.streaming.tracks import (
     stored_tracks,
-    stream_track_records,
+    stream_commanded_tracks,
+    stream_track_branches,
     stream_track_state,
 )
 
@@ -120,8 +122,6 @@ FLIGHT_SCHEMA = json.dumps(
 
 # All files of a replayed table go into few triggers; tests use one file each.
 FILES_PER_TRIGGER = 1000
-# Records of a trigger are put in order per track, so this one stays small.
-RECORD_FILES_PER_TRIGGER = 8
 
 
 # -- inputs ------------------------------------------------------------------
@@ -553,6 +553,80 @@ def track_state_stream(spark: SparkSession, folder: str) -> DataFrame:
     return latest_batches(spark, f"{work}/rows", "flight_id")
 
 
+def track_branches_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw and projected tracks from one read of a stream, each with its own state."""
+    work = new_folder(spark, "branches")
+    located = with_geometry(_stream(spark, folder))
+    both = project_points(located.withColumn("raw", F.col("geometry"))).select(
+        "flight_id", "track_day", "arrival_seq", "raw", F.col("geometry").alias("moved")
+    )
+    branches = {"gateway": {"geometry": "raw"}, "projected": {"geometry": "moved"}}
+    tracks = stream_track_branches(both, branches, time="track_day", max_features=2)
+    run_available(
+        spark,
+        table_sink(tracks, "track_branches", f"{work}/state", f"{work}/rows", once=True),
+    )
+    held = [
+        stored_tracks(spark, f"{work}/state", name=name).select(
+            F.lit(name).alias("branch"),
+            "flight_id",
+            F.col("track_day").alias("time"),
+            "arrival_seq",
+            _centimetres("geometry.x").alias("x_cm"),
+            _centimetres("geometry.y").alias("y_cm"),
+        )
+        for name in branches
+    ]
+    return held[0].union(held[1])
+
+
+def track_commands_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Tracks of a stream with another stream's removals, in order of arrival."""
+    work = new_folder(spark, "commands")
+    columns = ["flight_id", "track_day", "arrival_seq"]
+    reports = _stream(spark, folder).withColumn("arrival_seq", F.col("arrival_seq") * 2)
+    every = lambda n: F.col("event_id") % n == 0
+    commands = (
+        _stream(spark, folder)
+        .where(every(11))
+        .withColumn("arrival_seq", F.col("arrival_seq") * 2 + 1)
+        .select(*columns, F.when(every(55), F.lit("clear")).otherwise(F.lit("remove")).alias("action"))
+    )
+    tracks = stream_commanded_tracks(
+        reports.select(*columns), commands, time="track_day", max_features=1000
+    )
+    run_available(
+        spark, table_sink(tracks, "commands", f"{work}/state", f"{work}/rows", once=True)
+    )
+    return stored_tracks(spark, f"{work}/state")
+
+
+def track_probes_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Probes of a stream, answered from the live tracks of another."""
+    work = new_folder(spark, "probes")
+    stream = _stream(spark, folder)
+    probes = stream.select("event_id", "flight_id", F.col("track_day").alias("probe_time"))
+
+    def answer(rows: DataFrame) -> DataFrame:
+        before = track_array.previous(F.col("track"), F.col("probe_time"))
+        return rows.select("event_id", "flight_id", "probe_time", before.alias("previous"))
+
+    sink = probe_sink(
+        stream,
+        probes,
+        answer,
+        "probes",
+        f"{work}/state",
+        f"{work}/rows",
+        time="track_day",
+        max_features=2,
+        columns=["longitude", "latitude"],
+        once=True,
+    )
+    run_available(spark, sink)
+    return _entries(spark.read.parquet(f"{work}/rows"), "previous")
+
+
 def stored_tracks_stream(spark: SparkSession, folder: str) -> DataFrame:
     work = new_folder(spark, "stored-tracks")
     tracks = stream_track_state(
@@ -566,15 +640,18 @@ def stored_tracks_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def track_records_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record's outcome, summed up per flight."""
     work = new_folder(spark, "track-records")
-    source = replay_table(spark, events_path(folder), RECORD_FILES_PER_TRIGGER)
-    records = stream_track_records(
-        flights_of(source), time="flight_time", max_features=2
-    )
-    run_available(
-        spark,
-        table_sink(records, "track_records", f"{work}/state", f"{work}/rows", once=True),
+    sink = record_sink(
+        _stream(spark, folder),
+        "track_records",
+        f"{work}/state",
+        f"{work}/rows",
+        time="flight_time",
+        max_features=2,
+        once=True,
     )
+    run_available(spark, sink)
     return (
         spark.read.parquet(f"{work}/rows")
         .groupBy("flight_id")
@@ -670,6 +747,9 @@ def queries() -> dict[str, Query]:
         "track_state": track_state_query,
         "track_state_stream": track_state_stream,
         "stored_tracks_stream": stored_tracks_stream,
+        "track_branches_stream": track_branches_stream,
+        "track_commands_stream": track_commands_stream,
+        "track_probes_stream": track_probes_stream,
         "track_ends": track_ends,
         "track_latest": track_latest,
         "track_previous_1": _previous(_present, 1),
@@ -867,6 +947,24 @@ SELECT event_id, longitude AS lon, latitude AS lat FROM flights""",
         "track_state": entries(2),
         "track_state_stream": entries(2),
         "stored_tracks_stream": entries(3),
+        "track_branches_stream": f"""WITH {_FLIGHTS}, {_first_arrived('track_day', 2)}
+SELECT 'gateway' AS branch, flight_id, time, arrival_seq,
+       CAST(round(longitude * 100) AS BIGINT) AS x_cm, CAST(round(latitude * 100) AS BIGINT) AS y_cm
+FROM track
+UNION ALL
+SELECT 'projected' AS branch, flight_id, time, arrival_seq, {_MERCATOR} FROM track""",
+        "track_commands_stream": f"""WITH {_FLIGHTS},
+clears AS (
+  SELECT flight_id, max(2 * arrival_seq + 1) AS at FROM flights WHERE event_id % 55 = 0 GROUP BY 1),
+removals AS (
+  SELECT flight_id, track_day, max(2 * arrival_seq + 1) AS at FROM flights
+  WHERE event_id % 11 = 0 AND event_id % 55 <> 0 GROUP BY 1, 2)
+SELECT f.flight_id, f.track_day, min(2 * f.arrival_seq) AS arrival_seq
+FROM flights f LEFT JOIN clears c ON f.flight_id = c.flight_id
+LEFT JOIN removals r ON f.flight_id = r.flight_id AND f.track_day = r.track_day
+WHERE 2 * f.arrival_seq > coalesce(c.at, -1) AND 2 * f.arrival_seq > coalesce(r.at, -1)
+GROUP BY 1, 2""",
+        "track_probes_stream": _previous_sql(1, limit=2),
         "track_ends": f"""WITH {_FLIGHTS}, {_TRACK}
 SELECT flight_id, max(time) AS latest_time,
        arg_max(arrival_seq, time) AS latest_arrival,

@@ -20,8 +20,8 @@ def kafka_source_options(
 ) -> dict[str, str]:
     """Options of a topic's stream.
 
-    ``max_per_trigger`` bounds the records of a trigger; set it for
-    ``stream_track_records``, which puts a track's records in order in memory.
+    ``max_per_trigger`` bounds the records of a trigger; set it where commands on
+    tracks come along, since a track's records are then put in order in memory.
     """
     options = {
         "kafka.bootstrap.servers": bootstrap,
