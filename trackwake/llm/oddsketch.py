@@ -7,10 +7,10 @@ differ, after XOR, in a number of bits that tells how many samples differ; near
 the top this estimates similarity far more sharply than a band does, so few pairs
 are left to be confirmed on their full sets.
 
-Only connections matter, so links are found in rounds that each leave out what
-is connected already: the nearest partner of every set; the other candidates of
-small bands; and, for bands that many sets share, blocks against blocks inside a
-task that hands on no more links than it has members.
+Only connections matter, so links are found in two rounds, the second of which
+leaves out what the first connects: one partner of every set, then the other
+candidates of small bands and, for bands that many sets share, blocks against
+blocks inside a task that hands on no more links than it has members.
 """
 
 from __future__ import annotations
@@ -345,8 +345,27 @@ def _crowd_links(crowd: DataFrame, nodes: DataFrame, texts: DataFrame, roots: Da
 # -- the operator ---------------------------------------------------------------------
 
 
-def _links(docs: DataFrame, nodes: DataFrame, total: int, text: str, id: str, width: int, similarity: int) -> DataFrame:
-    """Links that connect all similar sets."""
+def _forest_roots(parents: DataFrame) -> DataFrame:
+    """(node, root) of every child in (a, b), where a child b has one smaller parent a.
+
+    Every round lets each node point to where its parent points, so a chain of n
+    links takes log n rounds, each written to the checkpoint folder.
+    """
+    reached = parents.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    while True:
+        onward = reached.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+        moved = checkpointed(
+            reached.join(onward, "root", "left").select(
+                "node", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")
+            )
+        )
+        reached = moved.select("node", "root")
+        if moved.where("_moved").isEmpty():
+            return reached
+
+
+def _links(docs: DataFrame, nodes: DataFrame, total: int, text: str, id: str, width: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) that nearest partners lead to, and links that connect the rest."""
     members = nodes.select("node", F.explode("bands").alias("key"))
     shared = (
         members.groupBy("key")
@@ -391,17 +410,19 @@ def _links(docs: DataFrame, nodes: DataFrame, total: int, text: str, id: str, wi
         .agg(F.first("text").alias("text"))
     )
     nearest = candidates.groupBy("b").agg(F.min("a").alias("a"))
-    links = checkpointed(_confirm(nearest, texts, width, similarity))
-    roots = components(links)
-    apart = candidates
+    roots = _forest_roots(_confirm(nearest, texts, width, similarity))
+    apart = _by_root(candidates.join(nearest, ["a", "b"], "left_anti"), roots).where("_a != _b")
+    more = _confirm(apart, texts, width, similarity)
+    crowded = _crowd_links(crowd.select("key", "node"), nodes, texts, roots, width, similarity)
+    return roots, more.union(crowded)
+
+
+def _by_root(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the roots of both, in `_a` and `_b`."""
     for side in ("a", "b"):
         named = roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
-        apart = apart.join(named, side, "left")
-    apart = apart.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-    more = _confirm(apart.join(nearest, ["a", "b"], "left_anti"), texts, width, similarity)
-    links = checkpointed(links.union(more))
-    crowded = _crowd_links(crowd.select("key", "node"), nodes, texts, components(links), width, similarity)
-    return links.union(crowded)
+        pairs = pairs.join(named, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    return pairs
 
 
 def near_duplicates(
@@ -443,10 +464,16 @@ def near_duplicates(
         )
     )
     total = nodes.count()
-    roots = components(_links(docs, nodes, total, text, id, width, similarity))
-    named = roots.withColumnRenamed("node", "_node")
-    rooted = nodes.select("node", "copies", "least").join(named, F.col("node") == F.col("_node"), "left").select(
-        "node", "copies", "least", F.coalesce("root", "node").alias("root")
+    roots, rest = _links(docs, nodes, total, text, id, width, similarity)
+    over = components(_by_root(rest, roots).select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    first = roots.select(F.col("node").alias("_node"), F.col("root").alias("_first"))
+    last = over.select(F.col("node").alias("_first"), F.col("root").alias("_last"))
+    rooted = (
+        nodes.select("node", "copies", "least")
+        .join(first, F.col("node") == F.col("_node"), "left")
+        .withColumn("_first", F.coalesce("_first", "node"))
+        .join(last, "_first", "left")
+        .select("node", "copies", "least", F.coalesce("_last", "_first").alias("root"))
     )
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_sets"))
     by_node = measured_join(
