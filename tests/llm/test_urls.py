@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -86,3 +87,13 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
     got = urls.filter_urls(one, urls.rule_table(spark, RULES).limit(0), default="block").collect()
     assert [(r.rule, r.verdict) for r in got] == [(None, "block")]
+
+
+def test_hosts_of_any_length_cost_their_length(spark):
+    long = "http://" + "a." * 100_000
+    pages = [(1, long + "net/"), (2, long + "example.com/de/x"), (3, "http://" + "." * 200_000 + "net/"), (4, long)]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    started = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(frame, urls.rule_table(spark)).select("page_id", "rule", "verdict").collect()}
+    assert time.time() - started < 60
+    assert got == {1: ("net/", "block"), 2: ("example.com/de/", "block"), 3: ("net/", "block"), 4: (None, "allow")}

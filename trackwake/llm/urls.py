@@ -1,8 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions joined with a rule table.
 
-A URL becomes the expressions that a rule could be written as: every suffix of
-its host at a label border, with every prefix of its path of a length that some
-rule has. Expressions meet rules in an equi-join on the first bytes of a digest;
+A URL becomes the expressions that a rule could be written as: the suffixes of
+its host with as many labels as some rule has, with the prefixes of its path of a
+length that some rule has. Expressions meet rules in an equi-join on the first bytes of a digest;
 the full digest confirms a meeting, and the longest rule wins.
 """
 
@@ -55,11 +55,13 @@ def _key(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def _expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+def _expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """Suffixes and prefixes of the sizes that rules have, so linear in the url."""
+    n_labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.array_compact(
+        F.array(*(F.when(n_labels >= k, F.substring_index(host, ".", -k)) for k in labels))
+        if labels
+        else F.array().cast("array<string>")
     )
     fitting = F.filter(
         F.array(*(F.lit(n) for n in lengths)).cast("array<int>"),
@@ -92,13 +94,15 @@ def filter_urls(
     path that is empty starts with no rule's `/`. Rules with a null are ignored,
     repeated rules count once. Repeated rows of `pages` give as many results.
 
-    The driver learns only which path lengths occur in the rules. An expression
+    The driver learns only which label counts and path lengths occur in the rules;
+    hosts and paths of any length cost their own length. An expression
     that a third of all pages share meets its rule in `salts` places.
     """
     clean = rules.select(
         F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")
     ).dropna()
-    lengths = sorted(r[0] for r in clean.select(F.length("r_path")).distinct().collect())
+    sizes = clean.select(F.size(F.split("r_host", r"\.", -1)), F.length("r_path")).distinct().collect()
+    labels, lengths = (sorted({r[k] for r in sizes}) for k in (0, 1))
     digest = _key(F.col("r_host"), F.col("r_path"))
     index = (
         clean.distinct()
@@ -118,7 +122,7 @@ def filter_urls(
     alike = ("_part", "page_id", "url", "host", "path")
     counted = parts.groupBy(*alike).agg(F.count("*").alias("_copies"))
     expressed = counted.withColumn(
-        "_expr", F.explode_outer(_expressions(F.col("host"), F.col("path"), lengths))
+        "_expr", F.explode_outer(_expressions(F.col("host"), F.col("path"), labels, lengths))
     ).withColumn("_digest", _key(F.col("_expr.host"), F.col("_expr.path")))
     met = expressed.join(
         index,
