@@ -126,3 +126,69 @@ def test_every_allowed_edit_is_found(make_docs):
     got = {r.doc_id: r.matched for r in licenses.scan_licenses(make_docs(rows)).collect()}
     assert sum(map(bool, expected.values())) > 0.7 * len(rows)
     assert [rows[i] for i, least in expected.items() if got.get(i, 0) < least] == []
+
+
+def places_of(parts):
+    """The text of (words, template or None) parts, and where templates begin."""
+    text, expected = [], []
+    for words, name in parts:
+        if name:
+            expected.append((name, len(text)))
+        text += words
+    return " ".join(text), expected
+
+
+MIT = licenses.tokens(next(t for t in licenses.TEMPLATES if t.name == "mit-line").text)
+LINES = {t.name: licenses.tokens(t.text) for t in licenses.TEMPLATES if t.name.endswith("-line")}
+
+
+def test_copies_side_by_side_are_each_found(make_docs):
+    apache = LINES["apache-2.0-line"]
+    rows = [
+        (MIT * 2, 2), (MIT + "one two three".split() + MIT, 2), (apache * 2, 2), (apache * 200, 200), (MIT * 300, 300),
+    ]
+    docs = make_docs([(n, " ".join(words)) for n, (words, _) in enumerate(rows)])
+    got: dict = {}
+    for r in licenses.scan_licenses(docs).collect():
+        assert r.coverage == 1
+        got.setdefault(r.doc_id, []).append(r.word_start)
+    assert {n: len(starts) for n, starts in got.items()} == {n: c for n, (_, c) in enumerate(rows)}
+    assert sorted(got[4]) == [len(MIT) * k for k in range(300)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixed_copies_match_brute_force(make_docs, seed):
+    """One to five copies, exact or edited, nought to twenty words apart."""
+    draw = random.Random(seed)
+    names = ["mit-line", "apache-2.0-line", "gpl-3.0-line", "cc0-line"]
+    rows, expected = [], {}
+    for n in range(60):
+        parts = [(["lorem"] * draw.randrange(9), None)]
+        for _ in range(draw.randrange(1, 6)):
+            name = draw.choice(names)
+            words = list(LINES[name])
+            if draw.random() < 0.5:
+                # An inner word, so that the copy still begins and ends where it did.
+                words[draw.randrange(1, len(words) - 1)] = "zzz"
+            parts += [(words, name), ([f"w{draw.randrange(50)}" for _ in range(draw.randrange(21))], None)]
+        text, places = places_of(parts)
+        rows.append((n, text))
+        expected[n] = sorted(places)
+    got: dict = {n: [] for n in expected}
+    for r in licenses.scan_licenses(make_docs(rows)).collect():
+        got[r.doc_id].append((r.license, r.word_start))
+    assert {n: sorted(found) for n, found in got.items()} == expected
+
+
+def test_repeated_rows_and_slices(make_docs):
+    text = " ".join(MIT * 3 + LINES["gpl-3.0-line"])
+    docs = make_docs([(1, text)] * 3 + [(None, text)] * 2 + [(2, "nothing here")], extra="_copies text2 hits")
+    for words in (500_000, 20):
+        got = [(r.doc_id, r.license, r.word_start) for r in licenses.scan_licenses(docs, slice_words=words).collect()]
+        assert len(got) == 20 and len(set(got)) == 8
+
+
+def test_texts_without_hits_do_not_move(spark, make_docs):
+    plan = licenses.scan_licenses(make_docs([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
+    # What is joined and matched are the rows that were kept before.
+    assert "MapInArrow" not in plan and "ExistingRDD" in plan

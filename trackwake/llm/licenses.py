@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -19,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from trackwake.llm.common import spread_join
+from trackwake.llm.common import checkpointed, spread_join
 
 GROUP = 4
 KEPT_OF = 2
@@ -119,11 +120,21 @@ def tokens(text: str) -> list[str]:
     return [word.lower() for word in _TOKEN.findall(text)]
 
 
+def word_hashes(found: Sequence[str]) -> np.ndarray:
+    return np.fromiter(
+        (zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found), np.uint64, len(found)
+    )
+
+
 def word_groups(found: Sequence[str], group: int = GROUP) -> np.ndarray:
     """A 64-bit hash of every run of `group` words."""
-    if len(found) < group:
+    return grouped(word_hashes(found), group)
+
+
+def grouped(own: np.ndarray, group: int) -> np.ndarray:
+    """The hashes of runs from those of the words."""
+    if len(own) < group:
         return np.zeros(0, np.uint64)
-    own = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found], np.uint64)
     n, mixed = len(own) - group + 1, np.zeros(len(own) - group + 1, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(group):
@@ -259,44 +270,48 @@ def banded_alignment(
     return found
 
 
+_HIT = pa.struct([("mark", pa.int64()), ("at", pa.int32())])
+_FOUND = "_id long, _key long, text string, hits array<struct<mark: long, at: int>>"
+
+
 def _marks(docs: DataFrame, index: list[Cut], band: int) -> DataFrame:
-    """(_id, _key, mark, at) of the kept word groups of whole texts that the index has."""
-    schema = pa.schema(
-        [("_id", pa.int64()), ("_key", pa.int64()), ("mark", pa.int64()), ("at", pa.int32())]
-    )
+    """Rows whose whole text has word groups that the index has, with these groups.
+
+    Texts without any go no further than the task that reads them.
+    """
+
+    def kept_groups(text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = tokens(text)
+        own = word_hashes(found)
+        marks, places = [], []
+        for part in index:
+            hashes = grouped(own, part.group)
+            at = winnowed(hashes, part.kept_of)
+            at = at[np.isin(hashes[at], part.known)]
+            if part.short:
+                near = [
+                    _around(found, k, part.short[h], band)
+                    for k, h in zip(at.tolist(), hashes[at].tolist())
+                ]
+                at = at[np.array(near, bool)]
+            marks.append(hashes[at].astype(np.int64))
+            places.append(at)
+        return np.concatenate(marks), np.concatenate(places)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, marks, places = [], [], [], []
-            for id_, key, text in zip(*batch.columns, strict=True):
-                found = tokens(text.as_py() or "")
-                for part in index:
-                    hashes = word_groups(found, part.group)
-                    at = winnowed(hashes, part.kept_of)
-                    at = at[np.isin(hashes[at], part.known)]
-                    if part.short:
-                        near = [
-                            _around(found, k, part.short[h], band)
-                            for k, h in zip(at.tolist(), hashes[at].tolist())
-                        ]
-                        at = at[np.array(near, bool)]
-                    if len(at):
-                        ids += [id_.as_py()] * len(at)
-                        keys += [key.as_py()] * len(at)
-                        marks.append(hashes[at].astype(np.int64))
-                        places.append(at)
-            if marks:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array(keys, pa.int64()),
-                        pa.array(np.concatenate(marks)),
-                        pa.array(np.concatenate(places).astype(np.int32)),
-                    ],
-                    schema=schema,
-                )
-
-    return docs.mapInArrow(kept, "_id long, _key long, mark long, at int")
+            rows, hits = [], []
+            for n, text in enumerate(batch.column(2)):
+                marks, places = kept_groups(text.as_py() or "")
+                if len(marks):
+                    rows.append(n)
+                    hits.append([{"mark": m, "at": p} for m, p in zip(marks.tolist(), places.tolist())])
+            some = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*some.columns, pa.array(hits, pa.list_(_HIT))], [*some.schema.names, "hits"]
+            )
+
+    return docs.mapInArrow(kept, _FOUND)
 
 
 def _regions(hits: DataFrame, sizes: DataFrame, band: int) -> DataFrame:
@@ -321,26 +336,39 @@ def _regions(hits: DataFrame, sizes: DataFrame, band: int) -> DataFrame:
     )
 
 
-def _align(found: list[str], spans: list[tuple[int, int]], region, template: list[str], band: int):
-    """(matched, word span, character span) of a region's best alignment, if any."""
+def _align(
+    found: list[str], spans: list[tuple[int, int]], region, template: list[str], band: int, coverage: float
+) -> Iterator[tuple]:
+    """(matched, word span, character span) of all matches that a region's words hold.
+
+    The words of a match are struck out and the rest is aligned again, so copies
+    that lie side by side are each found; what two regions both find is one match.
+    """
     begin = max(0, region["low"] - band)
-    words = found[begin : region["high"] + len(template) + band]
+    words: list[str | None] = list(found[begin : region["high"] + len(template) + band])
     low, high = region["low"] - begin - band, region["high"] - begin + band
-    match = banded_alignment(template, words, low, high)
-    if not match.matched:
-        return None
-    first, last = begin + match.first, begin + match.last
-    return match.matched, first, last + 1, spans[first][0], spans[last][1]
+    own = set(template)
+    while sum(word in own for word in words) >= coverage * len(template):
+        match = banded_alignment(template, words, low, high)
+        if match.matched < max(1, coverage * len(template)):
+            return
+        first, last = begin + match.first, begin + match.last
+        yield match.matched, first, last + 1, spans[first][0], spans[last][1]
+        words[match.first : match.last + 1] = [None] * (match.last + 1 - match.first)
 
 
 def _apart(rows: list[dict]) -> list[dict]:
     """Of matches that overlap, the one with most words, then coverage, then the first."""
+    starts: list[int] = []
     kept: list[dict] = []
     best_first = sorted(rows, key=lambda r: (-r["matched"], -r["coverage"], r["word_start"], r["license"]))
     for row in best_first:
-        if all(row["word_end"] <= k["word_start"] or k["word_end"] <= row["word_start"] for k in kept):
-            kept.append(row)
-    return sorted(kept, key=lambda r: r["word_start"])
+        at = bisect_left(starts, row["word_start"])
+        clear = not at or kept[at - 1]["word_end"] <= row["word_start"]
+        if clear and (at == len(kept) or row["word_end"] <= kept[at]["word_start"]):
+            starts.insert(at, row["word_start"])
+            kept.insert(at, row)
+    return kept
 
 
 def _aligned(band: int, coverage: float):
@@ -355,8 +383,7 @@ def _aligned(band: int, coverage: float):
             rows = []
             for region in of_text:
                 template = list(region["words"])
-                match = _align(found, spans, region, template, band)
-                if match and match[0] >= coverage * len(template):
+                for match in _align(found, spans, region, template, band, coverage):
                     share = match[0] / len(template)
                     rows.append(dict(zip(_MATCH, (region["template"], share, *match), strict=True)))
             answers.append(_apart(rows))
@@ -394,7 +421,8 @@ def scan_licenses(
     Texts are compared by their lower-cased runs of letters and digits. Every
     place of a text that holds a template but for as many missing or replaced
     words as `coverage` allows is reported; of templates that fit one
-    place, that with most words matched, then the larger coverage. A null or empty text has no match, repeated rows have as
+    place, that with most words matched, then the larger coverage. Copies side by
+    side are a match each. A null or empty text has no match, repeated rows have as
     many results. Templates of fewer than four words are an error; a list of any
     length is worked off in slices whose index is small enough to send along.
     """
@@ -406,12 +434,20 @@ def scan_licenses(
         F.xxhash64(F.col(id), F.col(text)).alias("_key"),
         F.col(text).alias("text"),
     )
-    hits = []
-    for part in _slices(templates, slice_words):
+    hits, read = [], []
+    for number, part in enumerate(_slices(templates, slice_words)):
+        found = checkpointed(_marks(keyed, cuts(part, coverage), band))
+        read.append(found.select("_id", "_key", "text", F.lit(number).alias("_slice")))
         # Rows alike in id and text have the same hits; they count once here.
-        found = _marks(keyed, cuts(part, coverage), band).distinct()
-        index = inverted_index(spark, part, coverage)
-        hits.append(spread_join(found, index, "mark", F.col("_key")))
+        marks = found.select("_id", "_key", F.inline("hits")).distinct()
+        hits.append(spread_join(marks, inverted_index(spark, part, coverage), "mark", F.col("_key")))
+    texts = (
+        reduce(DataFrame.union, read)
+        .groupBy("_id", "_key", "_slice")
+        .agg(F.first("text").alias("text"), F.count("*").alias("_copies"))
+        .groupBy("_id", "_key")
+        .agg(F.first("text").alias("text"), F.max("_copies").alias("_copies"))
+    )
     table = spark.createDataFrame(
         [(t.name, len(w), w) for t in templates for w in [tokens(t.text)]],
         "template string, size int, words array<string>",
@@ -422,8 +458,10 @@ def scan_licenses(
         .groupBy(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"))
         .agg(F.collect_list(F.struct("template", "words", "low", "high")).alias("regions"))
     )
-    met = keyed.join(
+    met = texts.join(
         of_text, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_key") == F.col("_rkey"))
     )
     matches = _aligned(band, coverage)("text", "regions")
-    return met.select(F.col("_id").alias("doc_id"), F.inline(matches))
+    copied = met.select(F.col("_id").alias("doc_id"), "_copies", F.inline(matches))
+    every = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
+    return copied.select("*", every).drop("_copies", "_copy")
