@@ -18,6 +18,9 @@ UNDETERMINED = "und"
 FEATURES = 4096
 #: At most so many labelled documents, shared evenly by the languages, are fitted.
 SAMPLE = 2000
+#: Where a machine between two names stands just at the border it gives one half, and
+#: a score is a family's confidence times a language's within it.
+MIN_SCORE = 0.25
 BLOCK = 256
 
 # Common codes by family; any other code is a family of its own.
@@ -223,9 +226,18 @@ def identify(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """`docs` without the rows whose language cannot be told: no text or no letter."""
-    language_of = predictor(train(docs))
+    """`docs` without the rows whose language cannot be told.
+
+    These have no text, no letter, or a score below MIN_SCORE: the machines found
+    next to nothing that speaks for one language rather than another. Where no row
+    is labelled there is no model, and every text with a letter stays.
+    """
+    model = train(docs)
+    language_of = predictor(model)
     nested = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
-    judged = nested.withColumn("_p", language_of("_doc.text"))
-    kept = judged.where(F.col("_p.lang_pred") != UNDETERMINED)
-    return kept.select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
+    if model.families:
+        judged = nested.withColumn("_p", language_of("_doc.text"))
+        told = (F.col("_p.lang_pred") != UNDETERMINED) & (F.col("_p.score") >= MIN_SCORE)
+    else:
+        judged, told = nested, F.col("_doc.text").rlike(r"\p{L}")
+    return judged.where(told).select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
