@@ -69,7 +69,12 @@ from trackwake.plans.programs import (
     track_latest as newest_entries,
     track_snapshot,
 )
-from trackwake.sources.replay import replay_table, text_stream
+from trackwake.sources.replay import (
+    replay_rows,
+    replay_table,
+    stage_rows,
+    text_stream,
+)
 from trackwake.streaming.folders import new_folder
 from trackwake.streaming.sinks import (
     latest_batches,
@@ -122,6 +127,7 @@ FLIGHT_SCHEMA = json.dumps(
 
 # All files of a replayed table go into few triggers; tests use one file each.
 FILES_PER_TRIGGER = 1000
+ROWS_PER_TRIGGER = 40_000
 
 
 # -- inputs ------------------------------------------------------------------
@@ -684,6 +690,23 @@ def replay_table_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{work}/rows").drop("batch_id")
 
 
+def replay_rows_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events a bounded number of rows per trigger, and how many triggers that took."""
+    work = new_folder(spark, "replay-rows")
+    stage_rows(spark.read.parquet(events_path(folder)), f"{work}/staged", ROWS_PER_TRIGGER)
+    rows = replay_rows(spark, f"{work}/staged")
+    run_available(
+        spark,
+        table_sink(rows, "replay_rows", f"{work}/state", f"{work}/rows", mode="append", once=True),
+    )
+    replayed = spark.read.parquet(f"{work}/rows")
+    sizes = replayed.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
+    bounded = sizes.select("batch_id", (F.col("rows") <= ROWS_PER_TRIGGER).alias("bounded"))
+    return replayed.join(F.broadcast(bounded), "batch_id").select(
+        "event_id", "user_id", "event_type", "value", "bounded"
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flight lines to parsed, projected, bounded tracks and their snapshot."""
     folder = "/root/testdata/sf0.001"
@@ -780,6 +803,7 @@ def queries() -> dict[str, Query]:
         "snapshot_stream": snapshot_stream,
         "state_messages": state_message_rows,
         "replay_table": replay_table_stream,
+        "replay_rows_stream": replay_rows_stream,
     } | _corpus_queries()
 
 
@@ -1036,5 +1060,7 @@ SELECT 'flights-state' AS topic, flight_id AS key,
        concat('Point(', CAST(longitude AS VARCHAR), ', ', CAST(latitude AS VARCHAR),
               ', 0.0)') AS value
 FROM latest""",
+        "replay_rows_stream": """SELECT event_id, user_id, event_type, value, true AS bounded
+FROM events""",
         "replay_table": "SELECT * FROM events",
     } | _corpus_sql()
