@@ -33,6 +33,8 @@ SCALE = 2_000_000
 #: Words a shard gathers of one language, and words' worth of phrases a merge takes.
 SHARD_WORDS = 1 << 20
 RANGE_WORDS = 1 << 19
+#: A language's phrases are ranked in so many parts first.
+PARTS = 32
 #: Word numbers are dealt in so many hashed rows.
 DEALS = 1024
 
@@ -495,8 +497,14 @@ def mine_phrases(
         cut = phrases.select("lang", "phrase", "a", _lowest_cut(length).alias("_cut"))
         ranked = cut if ranked is None else ranked.union(cut)
     flat = ranked.select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    # What is not first in its part of a language cannot be first in all of it, so
+    # the last step sees a bounded number of rows.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    within = Window.partitionBy("lang", "_part").orderBy(*order)
+    few = flat.withColumn("_part", part).withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= top)
+    whole = Window.partitionBy("lang").orderBy(*order)
+    best = few.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= top)
     return best.join(sizes, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
