@@ -410,7 +410,7 @@ def _links(docs: DataFrame, nodes: DataFrame, total: int, text: str, id: str, wi
         .agg(F.first("text").alias("text"))
     )
     nearest = candidates.groupBy("b").agg(F.min("a").alias("a"))
-    roots = _forest_roots(_confirm(nearest, texts, width, similarity))
+    roots = _forest_roots(checkpointed(_confirm(nearest, texts, width, similarity)))
     apart = _by_root(candidates.join(nearest, ["a", "b"], "left_anti"), roots).where("_a != _b")
     more = _confirm(apart, texts, width, similarity)
     crowded = _crowd_links(crowd.select("key", "node"), nodes, texts, roots, width, similarity)
