@@ -49,6 +49,8 @@ from trackwake.operators.history import (
     history_previous,
     history_range,
     history_remove,
+    save_history,
+    saved_history,
     track_history,
 )
 from trackwake.operators.tracks import (
@@ -426,6 +428,21 @@ def bounded_next(spark: SparkSession, folder: str) -> DataFrame:
     return _entries(found, "next")
 
 
+def saved_previous(spark: SparkSession, folder: str) -> DataFrame:
+    """Lookups in a history that was laid out for them."""
+    path = new_folder(spark, "history")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    save_history(_history(spark, folder), name, path)
+    found = history_previous(
+        _present(spark, folder),
+        saved_history(spark, name),
+        "probe_time",
+        2,
+        columns=["longitude", "latitude"],
+    )
+    return _entries(found, "previous")
+
+
 def track_range_query(spark: SparkSession, folder: str) -> DataFrame:
     start, end = (F.lit(day).cast("timestamp_ntz") for day in RANGE)
     cut = history_range(_history(spark, folder), start, end)
@@ -779,6 +796,7 @@ def queries() -> dict[str, Query]:
         "track_previous_2": _previous(_present, 2),
         "track_previous_2_reversed": _previous(_present, 2, descending=True),
         "track_previous_absent": _previous(_absent, 1),
+        "track_previous_saved": saved_previous,
         "track_next_1": _next(_present, 1),
         "track_next_2": _next(_present, 2),
         "track_next_2_reversed": _next(_present, 2, descending=True),
@@ -1018,6 +1036,7 @@ FROM flights""",
         "snapshot_branches": f"""WITH {_FLIGHTS}
 SELECT branch, flight_id AS "trackId", CAST(max(flight_time) AS VARCHAR) AS "latestTime"
 FROM flights CROSS JOIN (VALUES ('gateway'), ('projected')) AS b(branch) GROUP BY 1, 2""",
+        "track_previous_saved": _previous_sql(2),
         "track_previous_bounded": _previous_sql(1, limit=2),
         "track_next_bounded": _next_sql(1, limit=2),
         "track_range": f"""WITH {_FLIGHTS}, {_TRACK}

@@ -116,3 +116,46 @@ def test_a_report_without_time_stops(spark):
 def test_no_sort_in_the_first_arrivals(frames):
     _, _, history, _ = frames
     assert "SortAggregate" not in history._jdf.queryExecution().toString()
+
+
+@pytest.fixture
+def warehouse(spark):
+    yield "saved_reports"
+    for name in ("saved_reports", "saved_reports_cuts"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_saved_history_gives_the_same(spark, frames, warehouse, tmp_path, n):
+    _, _, history, asked = frames
+    h.save_history(history, warehouse, str(tmp_path), buckets=6)
+    saved = h.saved_history(spark, warehouse)
+    assert saved.buckets == 6
+    for lookup in (h.history_previous, h.history_next):
+        got = lookup(asked, saved, "probe_time", n, columns=["value"], out="found")
+        expected = lookup(asked, history, "probe_time", n, columns=["value"], out="found")
+        assert entries(got.collect()) == entries(expected.collect())
+
+
+def test_saved_history_is_not_shuffled(spark, frames, warehouse, tmp_path):
+    _, _, history, asked = frames
+    h.save_history(history, warehouse, str(tmp_path), buckets=6)
+    saved = h.saved_history(spark, warehouse)
+    found = h.history_previous(asked, saved, "probe_time", 2, columns=["value"], out="found")
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = [k for k, line in enumerate(plan) if "saved_reports[" in line and "Bucketed: true" in line]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+
+    def above(k):
+        """The operators from a scan to the top of the plan."""
+        at = depth(plan[k])
+        for line in reversed(plan[:k]):
+            if depth(line) < at:
+                at = depth(line)
+                yield line.strip(" :+-")
+
+    # The entries stay in their buckets up to the result; what ranges hand on is small.
+    paths = [[line.split()[0].split("(")[0] for line in above(k)] for k in scans]
+    assert [p for p in paths if "Exchange" not in p and p.count("Window") == 2]
+    for names in paths:
+        assert "Exchange" not in names or names.index("SortAggregate") < names.index("Exchange")

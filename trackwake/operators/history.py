@@ -6,17 +6,20 @@ length; ``operators.tracks`` is for tracks that are bounded on purpose.
 
 Lookups around a probe's time sort histories and probes of a key together. A key
 with more than its share of rows is cut into time ranges, and each range is
-handed the entries next to it, so no task holds more than its share.
+handed the entries next to it, so no task holds more than its share. A history
+that is looked up again and again is saved in that layout once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from trackwake.operators.ordering import Arrival, arrival_columns, arrival_value
 from trackwake.operators.skew import (
+    no_cuts,
     numbered_range,
     range_cuts,
     range_numbers,
@@ -28,7 +31,6 @@ _RANGE = "__range"
 _ENTRY = "__entry"
 _NEAR = "__near"
 _KIND = "__kind"
-_COPIES = 8
 
 
 def track_history(
@@ -55,6 +57,47 @@ def track_history(
     return timed(df, time).groupBy(key, F.col(time).alias("time")).agg(*first, *values)
 
 
+class SavedHistory(NamedTuple):
+    """A history laid out for lookups: rows bucketed by key and range, and the cuts."""
+
+    rows: DataFrame
+    cuts: DataFrame | None
+    buckets: int
+
+
+def save_history(
+    history: DataFrame, name: str, path: str, key: str = "flight_id", buckets: int | None = None
+) -> None:
+    """Write a history to ``path`` as the table ``name``, bucketed by key and range, sorted by time.
+
+    Keys with more than their share of rows are cut into ranges here, once, so
+    lookups need no pass over the history to find them; the cuts go to the table
+    ``<name>_cuts``. The number of buckets is by default that of shuffle partitions.
+    The layout is known to the catalog, so that must outlive the session if the
+    history is to.
+    """
+    cuts = range_cuts(history.where(F.col(key).isNotNull()), key, "time")
+    placed = numbered_range(history, cuts, key, "time", _RANGE)
+    width = buckets or shuffle_width(history)
+    (
+        placed.repartition(width, key, _RANGE)
+        .write.mode("overwrite")
+        .bucketBy(width, key, _RANGE)
+        .sortBy(key, _RANGE, "time")
+        .option("path", f"{path}/rows")
+        .saveAsTable(name)
+    )
+    listed = no_cuts(history, key, "time") if cuts is None else cuts
+    listed.write.mode("overwrite").option("path", f"{path}/cuts").saveAsTable(f"{name}_cuts")
+
+
+def saved_history(spark: SparkSession, name: str) -> SavedHistory:
+    """A history that ``save_history`` wrote, for ``history_previous`` and ``history_next``."""
+    rows, cuts = spark.table(name), spark.table(f"{name}_cuts")
+    described = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first()
+    return SavedHistory(rows, None if cuts.isEmpty() else cuts, int(described.data_type))
+
+
 def history_range(history: DataFrame, start: Column, end: Column) -> DataFrame:
     """Entries with ``start <= time < end``."""
     return history.where((F.col("time") >= start) & (F.col("time") < end))
@@ -85,19 +128,11 @@ def history_contains(
     """Probes with whether the history holds an entry of that very time.
 
     Joined on key and time, so a long track is spread by itself; many equal
-    probes meet their entry in several places.
+    probes in one task are split when the query runs (adaptive skew join), since
+    each meets one entry at most.
     """
-    held = history.select(F.col(key).alias("__key"), F.col("time").alias("__time")).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1)))
-    )
-    deal = F.pmod(F.xxhash64(*probes.columns), F.lit(_COPIES)).cast("int")
-    met = probes.withColumn("__deal", deal).join(
-        held,
-        (F.col(key) == F.col("__key"))
-        & (F.col(time) == F.col("__time"))
-        & (F.col("__deal") == F.col("__copy")),
-        "left",
-    )
+    held = history.select(F.col(key).alias("__key"), F.col("time").alias("__time"))
+    met = probes.join(held, (F.col(key) == F.col("__key")) & (F.col(time) == F.col("__time")), "left")
     return met.withColumn(out, F.col("__key").isNotNull()).select(*probes.columns, out)
 
 
@@ -122,7 +157,7 @@ def history_remove(
 
 def _nearest(
     probes: DataFrame,
-    history: DataFrame,
+    history: DataFrame | SavedHistory,
     time: str,
     n: int,
     key: str,
@@ -138,17 +173,28 @@ def _nearest(
     named = probes.withColumn("__probe", F.struct(*probes.columns)).select(
         F.col(key).alias(key), F.col(time).alias("time"), "__probe"
     )
-    both = history.select(key, "time").union(named.select(key, "time"))
-    cuts = range_cuts(both.where(F.col(key).isNotNull()), key, "time")
+    saved = isinstance(history, SavedHistory)
+    rows = history.rows if saved else history
+    if saved:
+        cuts = history.cuts
+    else:
+        both = history.select(key, "time").union(named.select(key, "time"))
+        cuts = range_cuts(both.where(F.col(key).isNotNull()), key, "time")
+    # What meets a saved history is dealt as that is, so the history stays where it is.
+    deal = lambda df: df.repartition(history.buckets, key, _RANGE) if saved else df
     outward = F.col("time").desc() if after else F.col("time").asc()
     entry = F.struct("time", *columns).alias(_ENTRY)
-    placed = numbered_range(history.select(key, "time", entry), cuts, key, "time", _RANGE)
+    placed = (
+        rows.select(key, _RANGE, "time", entry)
+        if saved
+        else numbered_range(rows.select(key, "time", entry), cuts, key, "time", _RANGE)
+    )
     inside = Window.partitionBy(key, _RANGE).orderBy(outward).rowsBetween(-(n - 1), 0)
     near = placed.where(F.col(key).isNotNull()).select(
         key, _RANGE, "time", F.reverse(F.collect_list(_ENTRY).over(inside)).alias(_NEAR)
     )
     if cuts is not None:
-        near = _carried(near, cuts, key, n, after=after)
+        near = _carried(near, cuts, key, n, after=after, deal=deal)
     # Without a key or time there is nothing to find: out of every range, dealt evenly.
     lost = -1 - F.pmod(F.xxhash64("__probe"), F.lit(shuffle_width(probes))).cast("int")
     sought = numbered_range(named, cuts, key, "time", _RANGE).withColumn(
@@ -158,7 +204,7 @@ def _nearest(
     entries = near.select(
         key, _RANGE, "time", F.lit(0 if touching else 1).alias(_KIND), _NEAR, nobody.alias("__probe")
     )
-    asked = sought.select(
+    asked = deal(sought).select(
         key, _RANGE, "time", F.lit(1 if touching else 0).alias(_KIND), none.alias(_NEAR), "__probe"
     )
     so_far = (
@@ -166,14 +212,23 @@ def _nearest(
         .orderBy(outward, _KIND)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    met = entries.union(asked).withColumn(_NEAR, F.last(_NEAR, ignorenulls=True).over(so_far))
+    # The dealt rows come first: Spark takes a union's partitioning from its first part.
+    met = asked.union(entries).withColumn(_NEAR, F.last(_NEAR, ignorenulls=True).over(so_far))
     empty = F.array().cast(near.schema[_NEAR].dataType)
     return met.where(F.col("__probe").isNotNull()).select(
         "__probe.*", F.coalesce(_NEAR, empty).alias(_NEAR)
     )
 
 
-def _carried(near: DataFrame, cuts: DataFrame, key: str, n: int, *, after: bool) -> DataFrame:
+def _carried(
+    near: DataFrame,
+    cuts: DataFrame,
+    key: str,
+    n: int,
+    *,
+    after: bool,
+    deal: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
     """Neighbours completed across range borders, and handed on to the ranges beyond.
 
     Of each range only its last row takes part, with its neighbours, and only
@@ -220,7 +275,7 @@ def _carried(near: DataFrame, cuts: DataFrame, key: str, n: int, *, after: bool)
         F.get("__handed", F.lit(0))["time"].alias("time"),
         F.col("__handed").alias(_NEAR),
     )
-    return own.union(opening)
+    return deal(opening).union(own)
 
 
 def _all_or_none(near: Column, n: int, skipped: int, flip: bool) -> Column:
@@ -232,7 +287,7 @@ def _all_or_none(near: Column, n: int, skipped: int, flip: bool) -> Column:
 
 def history_previous(
     probes: DataFrame,
-    history: DataFrame,
+    history: DataFrame | SavedHistory,
     time: str,
     n: int = 1,
     key: str = "flight_id",
@@ -250,7 +305,7 @@ def history_previous(
 
 def history_next(
     probes: DataFrame,
-    history: DataFrame,
+    history: DataFrame | SavedHistory,
     time: str,
     n: int = 1,
     key: str = "flight_id",

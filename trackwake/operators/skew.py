@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 _ROWS = "__rows"
 _SPLITS = "__splits"
@@ -18,13 +18,20 @@ def shuffle_width(df: DataFrame) -> int:
 def frequent_keys(df: DataFrame, key: str) -> dict:
     """Into how many pieces each key with over ``1/width`` of all rows should go.
 
-    ``width`` is the number of shuffle partitions, so the driver reads fewer
-    than ``width`` keys and their counts, once. A null key is one of them.
+    ``width`` is the number of shuffle partitions, so there are fewer than
+    ``width`` such keys. One job over the key column counts keys and rows, and the
+    driver reads the ``width`` most frequent keys. A null key is one of them.
     """
-    width, total = shuffle_width(df), df.count()
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(_ROWS))
-    frequent = counts.where(F.col(_ROWS) * width > total).collect()
-    return {row[0]: -(-row[1] * width // total) for row in frequent}
+    width, seen = shuffle_width(df), Observation()
+    counts = (
+        df.select(key)
+        .observe(seen, F.count(F.lit(1)).alias(_ROWS))
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias(_ROWS))
+    )
+    most = counts.orderBy(F.desc(_ROWS)).limit(width).collect()
+    total = seen.get[_ROWS] if most else 0
+    return {row[0]: -(-row[1] * width // total) for row in most if row[1] * width > total}
 
 
 def _listed(df: DataFrame, key: str, rows: list, more: str) -> DataFrame:
@@ -92,6 +99,11 @@ def range_cuts(df: DataFrame, key: str, by: str) -> DataFrame | None:
     return _listed(df, key, rows, f"{_CUTS} array<{kind}>")
 
 
+def no_cuts(df: DataFrame, key: str, by: str) -> DataFrame:
+    """The form of ``range_cuts`` without a row."""
+    return _listed(df, key, [], f"{_CUTS} array<{df.schema[by].dataType.simpleString()}>")
+
+
 def numbered_range(
     df: DataFrame, cuts: DataFrame | None, key: str, by: str, out: str
 ) -> DataFrame:
