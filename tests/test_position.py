@@ -8,7 +8,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import FLIGHT_SCHEMA
+from tests import samples
 from trackwake.operators.position import last_known_position, latest_report
+from trackwake.plans.programs import latest_state_messages, track_snapshot
+from trackwake.sources.kafka import ARRIVAL
 
 START = datetime(1969, 12, 31, 23, 59, 58)
 SCHEMA = (
@@ -93,3 +97,52 @@ def test_no_rows(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert last_known_position(frame, "k", "o", ["place"]).collect() == []
     assert latest_report(frame.where(F.lit(True)), "k", "t", "o", ["place"]).collect() == []
+
+
+MESSAGES = "flight_id string, time timestamp, t timestamp, p int, o long, g struct<x: double, y: double>, v string"
+
+
+def _messages(spark, seed=4):
+    draw = random.Random(seed)
+    at = lambda n: datetime(2024, 1, 1) + timedelta(seconds=n)
+    rows = [
+        (
+            draw.choice(["a", "b", "c", None]),
+            draw.choice([at(draw.randrange(6)), None]),
+            at(draw.randrange(4)),
+            draw.randrange(3),
+            n,
+            draw.choice([(1.0 * n, None), None]),
+            f"v{n}",
+        )
+        for n in range(300)
+    ]
+    rows += [("late", None, at(1), 0, 1000, None, "x"), ("late", None, at(0), 0, 1001, (5.0, 6.0), "first")]
+    return rows, spark.createDataFrame(rows, MESSAGES).repartition(5)
+
+
+def test_latest_by_message_arrival(spark):
+    rows, frame = _messages(spark)
+    got = latest_report(frame, "flight_id", "time", ("t", "p", "o"), ["g", "v"]).collect()
+    expected = {}
+    for key, time, t, p, o, g, v in sorted(rows, key=lambda r: (r[2], r[3], r[4])):
+        held = expected.get(key)
+        if held is None or (time is not None and (held[0] is None or time > held[0])):
+            expected[key] = (time, g, v)
+    assert {r.flight_id: (r.time, r.g and tuple(r.g), r.v) for r in got} == expected
+
+
+def test_latest_by_message_arrival_needs_no_sort(spark):
+    _, frame = _messages(spark)
+    numbers = frame.select("flight_id", "time", "t", "p", "o", "g")
+    found = latest_report(numbers, "flight_id", "time", ("t", "p", "o"), ["g"])
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    features = samples.features(spark).select(
+        "*", *(c.alias(n) for c, n in zip((F.col("time"), F.lit(0), F.col("arrival")), ARRIVAL))
+    )
+    for made in (
+        latest_state_messages(features, FLIGHT_SCHEMA, "t"),
+        track_snapshot(features, FLIGHT_SCHEMA),
+    ):
+        assert "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == 9

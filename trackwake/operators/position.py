@@ -36,7 +36,7 @@ def rebuilt(name: str, kind: T.DataType) -> Column:
     return F.when(F.col(f"`{name}.`"), F.struct(*fields))
 
 
-def _picked(df: DataFrame, key: str, rank: Column, columns: Sequence[str], *more: Column) -> DataFrame:
+def _picked(df: DataFrame, key: str | list[str], rank: Column, columns: Sequence[str], *more: Column) -> DataFrame:
     """``columns`` of the row with the largest rank, one ``max_by`` for each leaf.
 
     With a fixed-width rank and fixed-width leaves the buffers stay hash-aggregated.
@@ -44,7 +44,7 @@ def _picked(df: DataFrame, key: str, rank: Column, columns: Sequence[str], *more
     kinds = {name: df.schema[name].dataType for name in columns}
     parts = [leaf for name, kind in kinds.items() for leaf in leaves(name, kind, F.col(name))]
     picked = [F.max_by(value, rank).alias(name) for name, value in parts]
-    found = df.groupBy(key).agg(*more, *picked)
+    found = df.groupBy(key).agg(*more, *picked) if isinstance(key, str) else df.groupBy(*key).agg(*more, *picked)
     names = [c for c in found.columns if c not in {name for name, _ in parts}]
     return found.select(*names, *[rebuilt(n, k).alias(n) for n, k in kinds.items()])
 
@@ -71,7 +71,9 @@ def latest_report(
 
     This equals the newest entry of any bounded track of at least one entry.
     The report is picked in one aggregate, partly before the shuffle, and works
-    on streams in update or complete mode.
+    on streams in update or complete mode. On tables, time and an arrival of three
+    columns, too long for one number together, take two: the first arrived of each
+    key and time, then the latest of these, both by numbers and so without a sort.
     """
     names = arrival_columns(arrival)
     if len(names) == 1 and is_whole(df, names[0]) and is_whole(df, time):
@@ -79,6 +81,16 @@ def latest_report(
         step = F.lit("2" + "0" * 19).cast("decimal(20,0)")
         later = number_of(df, time).cast("decimal(18,0)") * step
         rank = later - number_of(df, names[0]).cast("decimal(19,0)")
+    elif (
+        not df.isStreaming
+        and is_whole(df, time)
+        and (packed := packed_arrival(df, arrival)) is not None
+    ):
+        kept = [name for name in columns if name not in {key, time}]
+        first = _picked(df, [key, time], -packed, kept)
+        # A key without any time has a report nonetheless.
+        rank = F.coalesce(number_of(first, time).cast("bigint"), F.lit(-(1 << 63)))
+        df = first
     else:
         # Earlier arrival must rank higher among equal times.
         rank = F.struct(time, *[arrival_rank(df, name) for name in names])
