@@ -77,3 +77,14 @@ def test_one_projection(make_docs):
     plan = quality.apply_rules(make_docs([(1, "x")]))._jdf.queryExecution().optimizedPlan()
     text = plan.toString()
     assert "Aggregate" not in text and "Join" not in text and "Python" not in text
+
+
+def test_prose_in_other_letters_owes_no_stop_words(make_docs):
+    russian = "утром они пошли к реке где тихо стояла лодка и старый рыбак чинил сеть под деревом"
+    latin = " ".join(f"qwor{n} zxty{n}" for n in range(40))
+    texts = [" ".join(f"{w}{n}" for n in range(5) for w in russian.split()), latin, "漢字 " + latin, "1 2 3 " * 40]
+    rows = {r.doc_id: r for r in quality.apply_rules(make_docs(list(enumerate(texts)))).collect()}
+    assert len(texts[0].split()) > 72
+    assert (rows[0].stop_word_debt, rows[0].kept) == (0, True)
+    assert [rows[n].stop_word_debt for n in (1, 2, 3)] == [80, 81, 120]
+    assert not rows[1].kept

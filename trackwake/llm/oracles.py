@@ -24,7 +24,7 @@ covered AS (
   SELECT doc_id, count(DISTINCT p) AS n
   FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM repeated) GROUP BY 1),
 m AS (
-  SELECT w.doc_id, len(words) AS n_words,
+  SELECT w.doc_id, t, len(words) AS n_words,
          coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
@@ -45,7 +45,11 @@ def _rules_sql() -> str:
         "n_words": "n_words",
         "mean_word_length": "word_chars / n_words",
         "symbol_ratio": "n_symbols / word_chars",
-        "stop_word_debt": "(n_words - 20 * n_stop_words)",
+        "stop_word_debt": (
+            "CASE WHEN n_words > 20 * n_stop_words"
+            r" AND 2 * length(regexp_replace(t, '\P{Latin}+', '', 'g')) < length(regexp_replace(t, '\P{L}+', '', 'g'))"
+            " THEN 0 ELSE n_words - 20 * n_stop_words END"
+        ),
         "dup_line_ratio": "n_dup_lines / n_lines",
         "repeat_word_ratio": "n_repeat_words / n_words",
     }
@@ -165,7 +169,9 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 {", ".join(parts)},
 spans AS ({" UNION ALL ".join(names)}),
 owned AS (
-  SELECT secret, count(DISTINCT coalesce(source, '\\0')) <= {secrets.MAX_OWNERS} AS live FROM spans GROUP BY 1),
+  SELECT secret, count(DISTINCT coalesce(source, '\\0')) <= {secrets.MAX_OWNERS}
+         AND count(DISTINCT (coalesce(source, '\\0'), doc_id)) <= {secrets.MAX_REPOS} AS live
+  FROM spans GROUP BY 1),
 judged AS (
   SELECT s.*, live, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT) AS shown
   FROM spans s JOIN owned o ON s.secret = o.secret),
