@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackwake.functions import track_array
 from trackwake.functions.geometry import WEB_MERCATOR
+from trackwake.functions.shapes import shape_to_wkb, wkb_to_shape
 from trackwake.functions.text import update_trace
 from trackwake.operators.aggregates import running_count
 from trackwake.operators.ingest import (
@@ -347,6 +348,35 @@ def wkb_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _xy(x, y):
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def track_lines_wkb(spark: SparkSession, folder: str) -> DataFrame:
+    """Bounded tracks as lines in WKB."""
+    points = F.transform("track", lambda e: _xy(e["longitude"], e["latitude"]))
+    line = F.struct(F.lit("line").alias("kind"), F.array(points).alias("parts"))
+    return _tracks(spark, folder, 5).select("flight_id", F.hex(shape_to_wkb(line)).alias("wkb"))
+
+
+def shapes_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The box around each flight's reports, as a polygon to WKB and back."""
+    box = flights(spark, folder).groupBy("flight_id").agg(
+        *[f(c).alias(f"{n}_{c[:3]}") for c in ("longitude", "latitude") for n, f in (("low", F.min), ("high", F.max))]
+    )
+    corners = (("low", "low"), ("high", "low"), ("high", "high"), ("low", "high"), ("low", "low"))
+    ring = F.array(*[_xy(F.col(f"{a}_lon"), F.col(f"{b}_lat")) for a, b in corners])
+    polygon = F.struct(F.lit("polygon").alias("kind"), F.array(ring).alias("parts"))
+    back = box.select("flight_id", wkb_to_shape(shape_to_wkb(polygon)).alias("shape"))
+    return back.select("flight_id", "shape.kind", F.posexplode(F.flatten("shape.parts"))).select(
+        "flight_id",
+        "kind",
+        F.col("pos").cast("bigint").alias("place"),
+        F.col("col.x").alias("x"),
+        F.col("col.y").alias("y"),
+    )
+
+
 def track_state_query(spark: SparkSession, folder: str) -> DataFrame:
     return track_state(flights(spark, folder), time="track_day", max_features=2)
 
@@ -784,6 +814,8 @@ def queries() -> dict[str, Query]:
         "project_points": project_points_query,
         "projected_null_geometry": projected_null_geometry,
         "wkb_roundtrip": wkb_roundtrip,
+        "track_lines_wkb": track_lines_wkb,
+        "shapes_roundtrip": shapes_roundtrip,
         "track_state": track_state_query,
         "track_state_stream": track_state_stream,
         "stored_tracks_stream": stored_tracks_stream,
@@ -986,6 +1018,17 @@ SELECT event_id, flight_id, CAST(NULL AS BIGINT) AS x_cm, CAST(NULL AS BIGINT) A
 FROM flights""",
         "wkb_roundtrip": f"""WITH {_FLIGHTS}
 SELECT event_id, longitude AS lon, latitude AS lat FROM flights""",
+        "track_lines_wkb": f"""WITH {_FLIGHTS}, {_first_arrived('track_day', 5)}
+SELECT flight_id, concat('0102000000', printf('%02X000000', count(*)),
+  string_agg(concat({_little_endian('longitude')}, {_little_endian('latitude')}), '' ORDER BY time)) AS wkb
+FROM track GROUP BY 1""",
+        "shapes_roundtrip": f"""WITH {_FLIGHTS},
+box AS (
+  SELECT flight_id, min(longitude) AS x0, max(longitude) AS x1, min(latitude) AS y0, max(latitude) AS y1
+  FROM flights GROUP BY 1)
+SELECT flight_id, 'polygon' AS kind, unnest([0, 1, 2, 3, 4])::BIGINT AS place,
+       unnest([x0, x1, x1, x0, x0]) AS x, unnest([y0, y0, y1, y1, y0]) AS y
+FROM box""",
         "track_state": entries(2),
         "track_state_stream": entries(2),
         "stored_tracks_stream": entries(3),

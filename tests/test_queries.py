@@ -28,6 +28,9 @@ def database():
 STREAMED = {"replay_table", "text_stream_count", "snapshot_branches"}
 
 
+ARROW = {"wkb_roundtrip", "wkb_bytes", "transformed_records", "track_lines_wkb", "shapes_roundtrip"}
+
+
 def test_every_query_has_a_twin():
     assert set(CORE) <= set(registered.oracle_sql())
 
@@ -70,7 +73,7 @@ def test_no_cross_join_and_no_python_but_for_wkb(spark, name):
     plan = _plan(spark, name)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     python = any(word in plan for word in ("Python", "ArrowEval", "MapInArrow"))
-    assert python == (name in {"wkb_roundtrip", "wkb_bytes", "transformed_records"})
+    assert python == (name in ARROW)
     assert "TakeOrdered" not in plan
 
 
