@@ -125,7 +125,7 @@ def warehouse(spark):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-@pytest.mark.parametrize("n", [1, 3])
+@pytest.mark.parametrize("n", [2])
 def test_saved_history_gives_the_same(spark, frames, warehouse, tmp_path, n):
     _, _, history, asked = frames
     h.save_history(history, warehouse, str(tmp_path), buckets=6)

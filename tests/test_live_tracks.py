@@ -61,7 +61,7 @@ def shown(frame):
 # -- one output per record ------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [0, 1, 2, 3, 5])
+@pytest.mark.parametrize("limit", [0, 1, 3])
 def test_records_of_a_table(spark, reports, limit):
     frame = spark.createDataFrame(reports, SCHEMA).repartition(5)
     got = record_tracks(frame, max_features=limit, columns=["value"])
@@ -76,7 +76,7 @@ def hot_reports(seed, n=900):
     return base + rows
 
 
-@pytest.mark.parametrize("limit", [0, 1, 3])
+@pytest.mark.parametrize("limit", [0, 2])
 def test_hot_keys_are_cut_into_ranges(spark, limit):
     rows = hot_reports(3)
     frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
@@ -85,7 +85,7 @@ def test_hot_keys_are_cut_into_ranges(spark, limit):
     assert shown(got) == outcomes(rows, limit)
 
 
-@pytest.mark.parametrize("splits,limit", [(1, 2), (3, 2), (4, 3), (3, 0)])
+@pytest.mark.parametrize("splits,limit", [(3, 2), (2, 0)])
 def test_records_of_a_stream(spark, reports, tmp_path, splits, limit):
     folder = write_splits(spark, reports, SCHEMA, str(tmp_path / "in"), splits, 2)
     rows, state = str(tmp_path / "rows"), str(tmp_path / "state")
@@ -217,7 +217,7 @@ def commanded(reports, commands, limit, splits):
     return {(k, t, a) for k, track in tracks.items() for t, a in track.held.items()}
 
 
-@pytest.mark.parametrize("splits", [1, 4])
+@pytest.mark.parametrize("splits", [3])
 def test_commands_on_live_tracks(spark, reports, tmp_path, splits):
     draw = random.Random(5)
     spread = [(k, t, 10 * a, v) for k, t, a, v in reports]
